@@ -1,0 +1 @@
+from lexis.sinks.writers import *  # noqa: F401,F403
