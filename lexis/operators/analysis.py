@@ -1,7 +1,7 @@
 """Error analysis: word distributions, top words, misclassified samples, attributions.
 
-(X1-X11, A7, O1-O4.)  Word tables are one ``explode -> groupBy -> pivot``
-with a single shuffle on the word (partial aggregation map-side, so a hot
+(X1-X11, A7, O1-O4.)  Word tables are one ``explode -> groupBy`` with a
+conditional count per class column and a single shuffle on the word (partial aggregation map-side, so a hot
 word such as "the" costs one row per map task, not one per occurrence).
 Top-n per group uses ``row_number() <= n``, which Spark plans with a
 partial ``WindowGroupLimit`` before the shuffle: a dominant group sends at
@@ -21,9 +21,25 @@ POS_BITS = 20
 MAX_POS = 1 << POS_BITS
 
 
+def explode_words(df: DataFrame, keep: list[str], tokens_col: str = "tokens",
+                  with_pos: bool = False) -> DataFrame:
+    """``keep..., [pos,] word`` - one row per token occurrence.
+
+    Uses the *outer* generator plus a ``word IS NOT NULL`` filter: a plain
+    ``explode`` makes Catalyst infer ``size(tokens) > 0`` and push it below
+    the projection (and below a repartition), which evaluates the regex
+    tokenizer a second time per document.
+    """
+    if with_pos:
+        gen = F.posexplode_outer(tokens_col).alias("pos", "word")
+    else:
+        gen = F.explode_outer(tokens_col).alias("word")
+    return df.select(*keep, gen).filter(F.col("word").isNotNull())
+
+
 def explode_tokens(df: DataFrame, keep: list[str], tokens_col: str = "tokens") -> DataFrame:
     """``keep..., pos, word`` - one row per token occurrence."""
-    return df.select(*keep, F.posexplode(tokens_col).alias("pos", "word"))
+    return explode_words(df, keep, tokens_col, with_pos=True)
 
 
 def first_seen_key(doc_col: str = "doc_id", pos_col: str = "pos"):
@@ -35,7 +51,7 @@ def first_seen_key(doc_col: str = "doc_id", pos_col: str = "pos"):
 
 def vocabulary(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """Distinct words (sorted when displayed)."""
-    return tokens.select(F.explode(tokens_col).alias("word")).distinct()
+    return explode_words(tokens, [], tokens_col).distinct()
 
 
 def word_class_counts(tokens: DataFrame, class_col: str, classes: list[str],
@@ -46,11 +62,13 @@ def word_class_counts(tokens: DataFrame, class_col: str, classes: list[str],
     ``classes`` are the pivot values, passed explicitly (no distinct job, fixed
     column order); classes without a word get 0.
     """
-    words = tokens.select(doc_col, class_col, F.explode(tokens_col).alias("word"))
+    words = explode_words(tokens, [doc_col, class_col], tokens_col)
     if unique_only:
         words = words.select(doc_col, class_col, "word").distinct()
-    wide = words.groupBy("word").pivot(class_col, classes).agg(F.count(F.lit(1)))
-    wide = wide.na.fill(0, subset=classes)
+    # one hash aggregate with a conditional count per class (Spark's pivot would
+    # plan a second aggregation to re-shape (word, class) rows)
+    per_class = [F.count(F.when(F.col(class_col) == F.lit(c), 1)).alias(c) for c in classes]
+    wide = words.groupBy("word").agg(*per_class)
     total = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
     return wide.withColumn("total", total.cast("long"))
 

@@ -119,5 +119,5 @@ def sample_vocabulary(df: DataFrame, text_col: str = "text", frac: float = VOCAB
     unioned by ``distinct`` (one shuffle of distinct words).
     """
     sampled = exact_sample(df, frac, seed=seed)
-    return (sampled.select(F.explode(word_punct_tokens(text_col)).alias("word"))
-            .distinct())
+    words = sampled.select(F.explode_outer(word_punct_tokens(text_col)).alias("word"))
+    return words.filter(F.col("word").isNotNull()).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexis.functions.text import encode_fixed, pad_front
-from lexis.operators.analysis import first_seen_key
+from lexis.operators.analysis import explode_words, first_seen_key
 
 # Fixed defaults of the reference's sequence model.
 MAX_WORDS = 10_000
@@ -30,7 +30,7 @@ def fit_vocabulary(tokens: DataFrame, max_words: int = MAX_WORDS,
     case is kept.  Counting is one hash aggregate on the word; the ranking
     runs over the capped top-n only.
     """
-    counts = (tokens.select(doc_col, F.posexplode(tokens_col).alias("pos", "word"))
+    counts = (explode_words(tokens, [doc_col], tokens_col, with_pos=True)
               .groupBy("word").agg(F.count(F.lit(1)).alias("n"),
                                    F.min(first_seen_key(doc_col)).alias("first_seen")))
     top = counts.orderBy(F.desc("n"), F.asc("first_seen")).limit(max(max_words - 1, 0))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexis.functions.arrays import hex_int, seeded_key, unit_interval
 from lexis.functions.text import word_tokens
+from lexis.operators.analysis import explode_words
 from lexis.operators.prep import label_codes
 from lexis.sources.corpus import load_corpus, read_table
 
@@ -138,7 +139,7 @@ def word_vectors(spark: SparkSession, sf_dir: str, dim: int = WORD_VEC_DIM) -> D
     Integer components make document means exact in any summation order;
     the odd half of the vocabulary is absent, exercising misses.
     """
-    words = tokens(spark, sf_dir).select(F.explode("tokens").alias("word")).distinct()
+    words = explode_words(tokens(spark, sf_dir), []).distinct()
     words = words.filter(hex_int(F.md5("word"), 1, 1) % 2 == 0)
     comp = lambda i: (hex_int(F.md5(F.concat(F.col("word"), F.lit("-"), i.cast("string"))), 1, 2)
                       % 17 - 8).cast("float")
@@ -177,7 +178,7 @@ def attributions(spark: SparkSession, sf_dir: str, run: str = ANALYSED_RUN) -> D
     """``doc_id, pos, word, weight, y_true, y_pred``: a weight in [-2, 2] per token,
     a function of the word and the predicted class (stands in for an explainer)."""
     preds = predictions(spark, sf_dir).filter(F.col("model_name") == run).drop("model_name")
-    ex = tokens(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "word"))
+    ex = explode_words(tokens(spark, sf_dir), ["doc_id"], with_pos=True)
     j = ex.join(preds, "doc_id", "inner")
     h = hex_int(F.md5(F.concat(F.col("word"), F.lit("-"), F.col("y_pred").cast("string"))), 1, 4)
     return j.select("doc_id", "pos", "word", ((h % 401 - 200) / 100.0).alias("weight"), "y_true", "y_pred")
@@ -195,7 +196,7 @@ attr AS (
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``word, synonym``: a capitalised corpus word maps to its lower-case form when
     that form is itself a corpus word (one row per word; stands in for WordNet)."""
-    words = tokens(spark, sf_dir).select(F.explode("tokens").alias("word")).distinct()
+    words = explode_words(tokens(spark, sf_dir), []).distinct()
     lower = words.select(F.col("word").alias("synonym"))
     cand = words.select("word", F.lower("word").alias("synonym")).filter(F.col("word") != F.col("synonym"))
     return cand.join(lower, "synonym", "left_semi").select("word", "synonym")

@@ -46,8 +46,12 @@ def load_corpus(spark: SparkSession, sf_dir: str, text_col: str = "text",
     """Driver ``documents`` as the corpus: ``doc_id, text, label`` (P1 + P2).
 
     ``text`` plays the reference's ``narrative``, ``lang`` its ``product``.
-    The column selection reaches the Parquet scan (``ReadSchema``).
+    The column selection reaches the Parquet scan (``ReadSchema``).  An
+    under-partitioned scan is spread over the cluster (``spread``).
     """
+    from lexis.operators.partitioning import spread
+
     docs = read_table(spark, sf_dir, "documents")
-    return (docs.select("doc_id", F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-            .na.drop("any"))
+    present = F.col("doc_id").isNotNull() & F.col(text_col).isNotNull() & F.col(label_col).isNotNull()
+    corpus = docs.filter(present).select("doc_id", F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    return spread(corpus, "doc_id")
