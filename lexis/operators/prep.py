@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +67,8 @@ def undersample(df: DataFrame, target: str, factor: float = UNDERSAMPLE_FACTOR,
     """
     keyed = df.withColumn("_ukey", seeded_key(seed, id_col))
     is_target = F.col(label_col).eqNullSafe(F.lit(target))
-    tgt = keyed.filter(is_target)
-    k = int(math.ceil(tgt.count() / factor))
-    t = kth_smallest_key(tgt, "_ukey", k)
+    t = kth_smallest_key(keyed.filter(is_target), "_ukey",
+                         k_of_n=lambda n: F.ceil(n / F.lit(float(factor))))
     keep = ~is_target if t is None else (~is_target | (F.col("_ukey") <= F.lit(t)))
     return keyed.filter(keep).drop("_ukey")
 
@@ -83,12 +80,10 @@ def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def train_test_split(df: DataFrame, test_size: float = TEST_SIZE, seed: str = "42",
-                     id_col: str = "doc_id", n: int | None = None) -> DataFrame:
+                     id_col: str = "doc_id") -> DataFrame:
     """Unstratified seeded split; ``ceil(n * test_size)`` rows get ``split = 'test'``."""
-    n = df.count() if n is None else n
-    k = int(math.ceil(n * test_size))
     keyed = df.withColumn("_skey", seeded_key(seed, id_col))
-    t = kth_smallest_key(keyed, "_skey", k)
+    t = kth_smallest_key(keyed, "_skey", k_of_n=lambda n: F.ceil(n * F.lit(float(test_size))))
     is_test = F.lit(False) if t is None else (F.col("_skey") <= F.lit(t))
     return (keyed.withColumn("split", F.when(is_test, "test").otherwise("train"))
             .drop("_skey"))

@@ -19,6 +19,7 @@ rows as ``ORDER BY key LIMIT k`` in any engine.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,24 +34,33 @@ def round_half_even(x: float) -> int:
     return int(round(x))
 
 
-def kth_smallest_key(df: DataFrame, key: str, k: int) -> str | None:
+def kth_smallest_key(df: DataFrame, key: str, k: int | None = None,
+                     k_of_n: Callable[[Column], Column] | None = None) -> str | None:
     """The k-th smallest value of string column ``key`` (1-based), or None if k <= 0.
 
-    Returns the largest key when ``k`` exceeds the row count.
+    ``k`` is either given, or computed from the row count ``n`` by the column
+    function ``k_of_n`` inside the same job (e.g. ``lambda n: F.ceil(n * 0.1)``),
+    so the row count costs no extra pass.  Two jobs in total: the bounded
+    histogram (with its running sum and total), then one sort of the
+    boundary bucket.  Returns the largest key when k exceeds the row count.
     """
-    if k <= 0:
+    if k is not None and k <= 0:
         return None
     bucket = hex_int(F.col(key), 1, BUCKET_HEX).alias("b")
     hist = df.select(bucket).groupBy("b").count()
-    # the histogram has at most 16**BUCKET_HEX rows: a bounded single-task window
-    running = hist.withColumn(
-        "cum", F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
-    hit = running.filter(F.col("cum") >= k).orderBy("b").limit(1).collect()
-    if not hit:  # fewer than k rows: everything is selected
-        top = df.agg(F.max(key).alias("m")).collect()[0]["m"]
-        return top
-    b, cum, cnt = hit[0]["b"], hit[0]["cum"], hit[0]["count"]
-    need = int(k - (cum - cnt))
+    # the histogram has at most 16**BUCKET_HEX rows: bounded single-task windows
+    everything = Window.partitionBy()
+    running = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = (hist.withColumn("cum", F.sum("count").over(running))
+            .withColumn("n", F.sum("count").over(everything)))
+    want = F.lit(k) if k is not None else k_of_n(F.col("n")).cast("long")
+    hist = hist.withColumn("k", want)
+    hit = (hist.filter((F.col("cum") >= F.col("k")) | (F.col("cum") == F.col("n")))
+           .orderBy("b").limit(1).collect())
+    if not hit or hit[0]["k"] is None or hit[0]["k"] <= 0:
+        return None
+    b, cum, cnt, kk = hit[0]["b"], hit[0]["cum"], hit[0]["count"], hit[0]["k"]
+    need = int(min(kk, cum) - (cum - cnt))
     inside = (df.filter(hex_int(F.col(key), 1, BUCKET_HEX) == F.lit(b))
               .select(key).orderBy(key).limit(need))
     return inside.agg(F.max(key).alias("m")).collect()[0]["m"]
@@ -72,13 +82,13 @@ def lowest_k_flag(df: DataFrame, key: str, k: int) -> Column:
     return F.col(key) <= F.lit(t)
 
 
-def exact_sample(df: DataFrame, frac: float, seed: int | str = 42, id_col: str = "doc_id",
-                 n: int | None = None) -> DataFrame:
-    """Exactly ``round(frac * n)`` rows, chosen by a seeded md5 order of ``id_col``."""
-    n = df.count() if n is None else n
-    k = round_half_even(frac * n)
+def exact_sample(df: DataFrame, frac: float, seed: int | str = 42, id_col: str = "doc_id") -> DataFrame:
+    """Exactly ``round(frac * n)`` rows (half to even), chosen by a seeded md5 order of ``id_col``."""
     keyed = df.withColumn("_key", seeded_key(seed, id_col))
-    return lowest_k(keyed, "_key", k).drop("_key")
+    t = kth_smallest_key(keyed, "_key", k_of_n=lambda n: F.bround(n * F.lit(float(frac)), 0))
+    if t is None:
+        return df.limit(0)
+    return keyed.filter(F.col("_key") <= F.lit(t)).drop("_key")
 
 
 def approx_sample(df: DataFrame, frac: float, seed: int | str = 42,

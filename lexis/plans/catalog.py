@@ -571,7 +571,9 @@ top AS (SELECT y_pred, y_true, (row_number() OVER (PARTITION BY y_pred, y_true O
 
 
 def _top_words(spark, sf) -> DataFrame:
-    ex = X.explode_tokens(fx.tokens(spark, sf), ["doc_id"]).join(_run_preds(spark, sf), "doc_id")
+    # join the predictions per document (one row each), then explode the tokens
+    docs = fx.tokens(spark, sf).join(_run_preds(spark, sf), "doc_id")
+    ex = X.explode_tokens(docs, ["doc_id", "y_pred", "y_true"])
     return X.top_words(ex, ["y_pred", "y_true"], TOP_N_WORDS)
 
 

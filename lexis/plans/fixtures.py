@@ -42,7 +42,8 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_codes(corpus(spark, sf_dir).select("label"))
+    """``label, code`` over the corpus (k rows); built from a plain scan, no repartition."""
+    return label_codes(load_corpus(spark, sf_dir, spread_input=False).select("label"))
 
 
 def class_names(spark: SparkSession, sf_dir: str) -> list[str]:

@@ -42,7 +42,7 @@ def read_corpus_csv(spark: SparkSession, path: str, schema: T.StructType = CORPU
 
 
 def load_corpus(spark: SparkSession, sf_dir: str, text_col: str = "text",
-                label_col: str = "lang") -> DataFrame:
+                label_col: str = "lang", spread_input: bool = True) -> DataFrame:
     """Driver ``documents`` as the corpus: ``doc_id, text, label`` (P1 + P2).
 
     ``text`` plays the reference's ``narrative``, ``lang`` its ``product``.
@@ -54,4 +54,4 @@ def load_corpus(spark: SparkSession, sf_dir: str, text_col: str = "text",
     docs = read_table(spark, sf_dir, "documents")
     present = F.col("doc_id").isNotNull() & F.col(text_col).isNotNull() & F.col(label_col).isNotNull()
     corpus = docs.filter(present).select("doc_id", F.col(text_col).alias("text"), F.col(label_col).alias("label"))
-    return spread(corpus, "doc_id")
+    return spread(corpus, "doc_id") if spread_input else corpus
