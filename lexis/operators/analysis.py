@@ -106,6 +106,17 @@ def top_words(exploded: DataFrame, group_cols: list[str], n: int,
             .select(*group_cols, F.col("rank").cast("int").alias("rank"), "word", "n"))
 
 
+def pair_filter(preds: DataFrame, pred_code: int, true_code: int,
+                pred_col: str = "y_pred", true_col: str = "y_true") -> DataFrame:
+    """Rows predicted as ``pred_code`` whose true class is ``true_code``."""
+    return preds.filter((F.col(pred_col) == F.lit(pred_code)) & (F.col(true_col) == F.lit(true_code)))
+
+
+def class_filter(df: DataFrame, codes: list[int], col: str = "y_true") -> DataFrame:
+    """Keep rows of the listed classes; an empty list keeps everything."""
+    return df.filter(F.col(col).isin(codes)) if codes else df
+
+
 def misclassified_sample(preds: DataFrame, tokens: DataFrame, seed: str = "42",
                          pred_col: str = "y_pred", true_col: str = "y_true",
                          doc_col: str = "doc_id") -> DataFrame:
