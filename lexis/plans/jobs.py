@@ -22,6 +22,7 @@ from lexis.operators import prep as P
 from lexis.operators import train as T
 from lexis.operators.sampling import exact_sample
 from lexis.operators.vectors import doc_vectors_mean
+from lexis.session import cut_lineage
 from lexis.sinks import writers as K
 from lexis.sources import stored as S
 
@@ -83,7 +84,8 @@ def run_all(spark: SparkSession, base: str, paths: dict[str, str], model_name: s
         pipe, grid = estimator_and_grid()
         cv = T.grid_search(pipe, grid, train)
         preds = T.predict(cv.bestModel, test, "doc_id")
-        conf = V.confusion_long(preds)
+        # the k x k table feeds five sinks: materialise it once in the shared checkpoint folder
+        conf = cut_lineage(V.confusion_long(preds))
         results = V.accuracy_f1(conf)
         report = V.classification_report(conf, codes)
         stored.append(K.store_results(spark, base, model_name, emb, cv.bestModel, T.best_params(cv),

@@ -104,11 +104,17 @@ def read_conf_long(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def load_model(path: str):
-    """A saved pipeline / cross-validation model."""
-    from pyspark.ml import PipelineModel
-    from pyspark.ml.tuning import CrossValidatorModel
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001 - fall back to the other persisted kind
-        return CrossValidatorModel.load(path)
+def load_model(path: str, spark: SparkSession | None = None):
+    """Any saved Spark ML model (pipeline, cross-validation, classifier, word2vec).
+
+    The model class is read from the saved metadata and mapped to its
+    ``pyspark.ml`` counterpart, which loads it.
+    """
+    import importlib
+    import json
+
+    spark = spark or SparkSession.getActiveSession()
+    meta = json.loads(spark.read.text(f"{path.rstrip('/')}/metadata").first()[0])
+    jvm_class = meta["class"]                      # e.g. org.apache.spark.ml.classification.XModel
+    module, name = jvm_class.replace("org.apache.spark.ml", "pyspark.ml").rsplit(".", 1)
+    return getattr(importlib.import_module(module), name).load(path)

@@ -17,9 +17,10 @@ SKIP = os.environ.get("LEXIS_SKIP_ORACLE") == "1"
 
 def test_contract_shapes():
     assert set(ORACLE) <= set(QUERIES)
-    assert len(QUERIES) >= 49
+    assert len(QUERIES) >= 50
     rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"word2vec_train", "svm_grid_search", "gbt_grid_search", "mlp_classify"}
+    assert rows_only == {"word2vec_train", "svm_grid_search", "gbt_grid_search", "mlp_classify",
+                         "svm_rbf_classify"}
 
 
 def test_entry_smoke(spark):

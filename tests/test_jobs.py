@@ -47,6 +47,10 @@ def test_prepare_run_all_post_analysis(spark, base):
     params = S.read_versioned(spark, f"{base}/best_params").collect()
     assert all("regParam" in r["params"] for r in params)
 
+    model = S.load_model(f"{base}/models/svm-glove")
+    test = jobs._labelled_vectors(spark, paths, "glove", "test")
+    assert model.transform(test).count() == test.count()
+
     # re-running one embedding replaces its row (keyed upsert), the other stays
     jobs.run_all(spark, base, paths, "svm", _logistic, ["glove"])
     assert S.read_results(spark, f"{base}/results").count() == 2

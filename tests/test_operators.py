@@ -157,3 +157,17 @@ def test_misclassified_sample_one_per_pair(spark):
     toks = spark.createDataFrame([(i, ["w%d" % i]) for i in range(20)], "doc_id long, tokens array<string>")
     out = X.misclassified_sample(preds, toks)
     assert out.count() == 4 and out.select("y_pred", "y_true").distinct().count() == 4
+
+
+def test_random_fourier_features_approximate_rbf(spark):
+    import numpy as np
+
+    from lexis.operators.train import random_fourier_features
+    rng = np.random.default_rng(0)
+    pts = rng.normal(size=(6, 4)) * 0.5
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "id long, v array<double>")
+    z = {r["id"]: np.array(r["rff"]) for r in random_fourier_features(df, "v", n_components=4000, gamma=0.5).collect()}
+    for i in range(6):
+        for j in range(6):
+            exact = np.exp(-0.5 * np.sum((pts[i] - pts[j]) ** 2))
+            assert abs(float(z[i] @ z[j]) - exact) < 0.06
