@@ -32,6 +32,19 @@ def label_codes(df: DataFrame, label_col: str = "label") -> DataFrame:
         "code", (F.dense_rank().over(Window.orderBy(label_col)) - 1).cast("int"))
 
 
+def bounded_codes(codes: DataFrame, max_classes: int = MAX_CLASSES) -> tuple[DataFrame, bool]:
+    """Materialise a label map on the driver when it provably has at most ``max_classes`` rows.
+
+    Returns ``(codes, bounded)``: a small driver-built table that is safe to
+    broadcast, or the original (lazy) table when the bound is exceeded, in
+    which case joins are left to the planner.
+    """
+    rows = codes.select("label", "code").limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        return codes, False
+    return codes.sparkSession.createDataFrame(rows, "label string, code int"), True
+
+
 def attach_codes(df: DataFrame, codes: DataFrame, label_col: str = "label",
                  code_col: str = "code") -> DataFrame:
     """P5/P6 lookup: add the code of ``label_col`` through a bounded broadcast join."""

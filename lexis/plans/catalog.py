@@ -196,8 +196,9 @@ SELECT doc_id, code,
                                    list_resize([]::INTEGER[], nk.k - code - 1, 0)), ',') AS onehot
 FROM coded, nk"""))
 def q_one_hot_labels(spark, sf):
-    coded = fx.coded_tokens(spark, sf)
-    k = fx.codes(spark, sf).count()
+    table = fx.codes(spark, sf)
+    coded = fx.coded_tokens(spark, sf, table)
+    k = table.count()
     return P.with_one_hot(coded, k).select("doc_id", "code", ints_str("onehot").alias("onehot"))
 
 
@@ -301,8 +302,9 @@ SELECT doc_id,
                                    list_resize([]::INTEGER[], nk.k - code - 1, 0)), ',') AS onehot
 FROM framed, nk"""))
 def q_encoded_with_mask(spark, sf):
-    coded = fx.coded_tokens(spark, sf)
-    k = fx.codes(spark, sf).count()
+    table = fx.codes(spark, sf)
+    coded = fx.coded_tokens(spark, sf, table)
+    k = table.count()
     enc = S.encoded_with_mask(coded, _train_vocab(spark, sf), ENCODE_LENGTH)
     onehot = P.with_one_hot(coded.select("doc_id", "code"), k)
     return enc.join(onehot, "doc_id").select(
@@ -453,8 +455,8 @@ FROM conf JOIN codes ta ON ta.code = conf.y_true JOIN codes pa ON pa.code = conf
 GROUP BY conf.model_name, ta.label""".format(
     cols=", ".join(f"coalesce(sum(n) FILTER (WHERE pa.label = '{c}'), 0)::BIGINT AS {c}" for c in CORPUS_CLASSES))))
 def q_confusion_matrix_dense(spark, sf):
-    classes = fx.class_names(spark, sf)
-    return V.confusion_dense(_conf(spark, sf), _names(spark, sf), classes, ["model_name"])
+    names = _names(spark, sf)
+    return V.confusion_dense(_conf(spark, sf), names, fx.class_names(spark, sf, names), ["model_name"])
 
 
 @register("confusion_rollup", sql(*EVAL_CTES, body="""

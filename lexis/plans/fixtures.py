@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexis.functions.arrays import hex_int, seeded_key, unit_interval
 from lexis.functions.text import word_tokens
 from lexis.operators.analysis import explode_words
-from lexis.operators.prep import label_codes
+from lexis.operators.prep import MAX_CLASSES, bounded_codes, label_codes
 from lexis.sources.corpus import load_corpus, read_table
 
 # Run names follow the reference's result files; error rates are ours.
@@ -42,17 +42,23 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``label, code`` over the corpus (k rows); built from a plain scan, no repartition."""
-    return label_codes(load_corpus(spark, sf_dir, spread_input=False).select("label"))
+    """``label, code`` over the corpus: one scan (no repartition), collected once with a
+    hard bound of ``MAX_CLASSES`` rows, so joins may broadcast it."""
+    table, bounded = bounded_codes(label_codes(load_corpus(spark, sf_dir, spread_input=False).select("label")))
+    if not bounded:
+        raise ValueError(f"more than {MAX_CLASSES} classes: not a classification label")
+    return table
 
 
-def class_names(spark: SparkSession, sf_dir: str) -> list[str]:
+def class_names(spark: SparkSession, sf_dir: str, table: DataFrame | None = None) -> list[str]:
     """Sorted class names (k values, bounded)."""
-    return [r["label"] for r in codes(spark, sf_dir).orderBy("code").collect()]
+    table = codes(spark, sf_dir) if table is None else table
+    return [r["label"] for r in sorted(table.collect(), key=lambda r: r["code"])]
 
 
-def coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens(spark, sf_dir).join(F.broadcast(codes(spark, sf_dir)), "label", "inner")
+def coded_tokens(spark: SparkSession, sf_dir: str, table: DataFrame | None = None) -> DataFrame:
+    table = codes(spark, sf_dir) if table is None else table
+    return tokens(spark, sf_dir).join(F.broadcast(table), "label", "inner")
 
 
 CORPUS_SQL = r"""
@@ -92,8 +98,10 @@ def predictions(spark: SparkSession, sf_dir: str, runs=None) -> DataFrame:
     """
     runs = RUNS if runs is None else runs
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("label")).na.drop()
-    cds = label_codes(docs.select("label"))
-    k = cds.count()
+    cds, bounded = bounded_codes(label_codes(docs.select("label")))
+    if not bounded:
+        raise ValueError(f"more than {MAX_CLASSES} classes: not a classification label")
+    k = cds.count()  # driver-built table: no job
     coded = docs.join(F.broadcast(cds), "label", "inner")
     run_arr = F.array(*[F.struct(F.lit(n).alias("model_name"), F.lit(float(r)).alias("rate"))
                         for n, r in runs])
