@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexis.functions.arrays import seeded_key, unit_interval
+from lexis.functions.arrays import hex_int, seeded_key, unit_interval
 from lexis.functions.text import join_tokens
 
 # first-appearance order key: doc_id * 2**20 + position (positions must stay below 2**20)
@@ -122,11 +122,16 @@ def misclassified_sample(preds: DataFrame, tokens: DataFrame, seed: str = "42",
                          doc_col: str = "doc_id") -> DataFrame:
     """X1 for every (predicted, true) pair at once: one seeded-random document each.
 
-    ``min_by`` over the seeded key is a plain aggregate (k*k groups) - no window.
+    A plain aggregate over k*k groups - no window.  ``mins`` has at most one
+    row per (predicted, true) pair, i.e. k*k rows: bounded, so it is broadcast.
     An absent pair simply has no row (the reference raises).
     """
-    keyed = preds.withColumn("_k", seeded_key(seed, doc_col))
-    pick = keyed.groupBy(pred_col, true_col).agg(F.min_by(doc_col, "_k").alias(doc_col))
+    # hash aggregation on a 60-bit numeric prefix of the md5 key; the few rows
+    # holding a group's minimal prefix are then resolved on the full key (exact)
+    keyed = preds.withColumn("_k", seeded_key(seed, doc_col)).withColumn("_p", hex_int(F.col("_k"), 1, 15))
+    mins = keyed.groupBy(pred_col, true_col).agg(F.min("_p").alias("_p"))
+    tied = keyed.join(F.broadcast(mins), [pred_col, true_col, "_p"], "left_semi")
+    pick = tied.groupBy(pred_col, true_col).agg(F.min_by(doc_col, "_k").alias(doc_col))
     return (pick.join(tokens.select(doc_col, "tokens"), doc_col, "inner")
             .select(pred_col, true_col, doc_col, join_tokens("tokens").alias("text")))
 

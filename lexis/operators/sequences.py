@@ -39,24 +39,27 @@ def fit_vocabulary(tokens: DataFrame, max_words: int = MAX_WORDS,
 
 
 def token_ids(tokens: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
-              doc_col: str = "doc_id", offset: int = 0, unknown_id: int | None = None) -> DataFrame:
+              doc_col: str = "doc_id", offset: int = 0, unknown_id: int | None = None,
+              keep: list[str] | None = None) -> DataFrame:
     """``doc_id, ids`` - vocabulary ids in token order; unknown words dropped
     (or mapped to ``unknown_id``).  Documents without any known word keep an
     empty array.
 
     One broadcast join (the vocabulary is capped) and one aggregation per
     document; the per-document list is bounded by the document's length.
+    ``keep``: per-document columns carried through the aggregation (no re-join).
     """
     lookup = F.broadcast(vocab.select("word", (F.col("idx") + F.lit(offset)).alias("id")))
-    ex = tokens.select(doc_col, F.posexplode_outer(tokens_col).alias("pos", "word"))
+    keep = list(keep or [])
+    ex = tokens.select(doc_col, *keep, F.posexplode_outer(tokens_col).alias("pos", "word"))
     joined = ex.join(lookup, "word", "left")
     if unknown_id is not None:
         ident = F.when(F.col("word").isNotNull(), F.coalesce(F.col("id"), F.lit(unknown_id)))
     else:
         ident = F.col("id")
     entry = F.when(ident.isNotNull(), F.struct(F.col("pos"), ident.alias("id")))
-    agg = joined.groupBy(doc_col).agg(F.array_sort(F.collect_list(entry)).alias("pairs"))
-    return agg.select(doc_col, F.transform("pairs", lambda p: p["id"]).cast("array<int>").alias("ids"))
+    agg = joined.groupBy(doc_col, *keep).agg(F.array_sort(F.collect_list(entry)).alias("pairs"))
+    return agg.select(doc_col, *keep, F.transform("pairs", lambda p: p["id"]).cast("array<int>").alias("ids"))
 
 
 def padded_sequences(tokens: DataFrame, vocab: DataFrame, maxlen: int = MAX_LEN,
@@ -67,12 +70,14 @@ def padded_sequences(tokens: DataFrame, vocab: DataFrame, maxlen: int = MAX_LEN,
 
 
 def encoded_with_mask(tokens: DataFrame, vocab: DataFrame, length: int = ENCODE_LENGTH,
-                      tokens_col: str = "tokens", doc_col: str = "doc_id") -> DataFrame:
+                      tokens_col: str = "tokens", doc_col: str = "doc_id",
+                      keep: list[str] | None = None) -> DataFrame:
     """T10 re-aimed on the word vocabulary: ``[start] ids [end]`` padded at the end, plus mask.
 
     Word ids are shifted past the special ids; words outside the capped
     vocabulary become the unknown id.
     """
-    ids = token_ids(tokens, vocab, tokens_col, doc_col, offset=WORD_ID_OFFSET, unknown_id=UNK_ID)
+    keep = list(keep or [])
+    ids = token_ids(tokens, vocab, tokens_col, doc_col, offset=WORD_ID_OFFSET, unknown_id=UNK_ID, keep=keep)
     enc = encode_fixed("ids", length, START_ID, END_ID, PAD_ID)
-    return ids.select(doc_col, enc.alias("enc")).select(doc_col, "enc.ids", "enc.mask")
+    return ids.select(doc_col, *keep, enc.alias("enc")).select(doc_col, *keep, "enc.ids", "enc.mask")

@@ -305,9 +305,8 @@ def q_encoded_with_mask(spark, sf):
     table = fx.codes(spark, sf)
     coded = fx.coded_tokens(spark, sf, table)
     k = table.count()
-    enc = S.encoded_with_mask(coded, _train_vocab(spark, sf), ENCODE_LENGTH)
-    onehot = P.with_one_hot(coded.select("doc_id", "code"), k)
-    return enc.join(onehot, "doc_id").select(
+    enc = S.encoded_with_mask(coded, _train_vocab(spark, sf), ENCODE_LENGTH, keep=["code"])
+    return P.with_one_hot(enc, k).select(
         "doc_id", ints_str("ids").alias("ids"), ints_str("mask").alias("mask"),
         ints_str("onehot").alias("onehot"))
 
