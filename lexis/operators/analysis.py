@@ -54,6 +54,12 @@ def vocabulary(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     return explode_words(tokens, [], tokens_col).distinct()
 
 
+def empty_word_table(tokens: DataFrame, classes: list[str], tokens_col: str = "tokens") -> DataFrame:
+    """Every vocabulary word with a zero column per class (filled by X5-X7)."""
+    zeros = [F.lit(0).cast("long").alias(c) for c in classes]
+    return vocabulary(tokens, tokens_col).select("word", *zeros)
+
+
 def word_class_counts(tokens: DataFrame, class_col: str, classes: list[str],
                       unique_only: bool = False, tokens_col: str = "tokens",
                       doc_col: str = "doc_id") -> DataFrame:

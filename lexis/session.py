@@ -36,6 +36,28 @@ def build_session(master: str | None = None, app: str = "lexis",
     return spark
 
 
+def recommended_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a job over ``input_bytes`` on ``total_cores`` executor cores.
+
+    Scan splits of ``partition_bytes`` (128-256 MB fit executor memory with
+    room for the text->token expansion); shuffle partitions sized so each
+    holds about ``partition_bytes`` of the (roughly input-sized) token
+    shuffle, at least 2 waves of tasks; AQE coalesces small ones and splits
+    skewed ones at run time.
+    """
+    shuffle = max(2 * total_cores, input_bytes // partition_bytes)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

@@ -48,7 +48,21 @@ def _rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {"LongType()": "BIGINT", "IntegerType()": "INTEGER", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "BooleanType()": "BOOLEAN", "FloatType()": "FLOAT"}
+
+
+def type_mismatches(spark_df, con, sql: str) -> dict:
+    s = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in spark_df.schema.fields}
+    rel = con.sql(sql)
+    d = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    return {c: (s.get(c), d.get(c)) for c in set(s) | set(d) if s.get(c) != d.get(c)}
+
+
 def compare(spark_df, con, sql: str) -> tuple[bool, str]:
+    types = type_mismatches(spark_df, con, sql)
+    if types:
+        return False, f"column types differ (spark, sql): {types}"
     s = spark_df.toPandas()
     d = con.execute(sql).df()
     if sorted(s.columns) != sorted(d.columns):

@@ -171,3 +171,42 @@ def test_random_fourier_features_approximate_rbf(spark):
         for j in range(6):
             exact = np.exp(-0.5 * np.sum((pts[i] - pts[j]) ** 2))
             assert abs(float(z[i] @ z[j]) - exact) < 0.06
+
+
+def test_small_helpers(spark):
+    from lexis.operators.joins import bounded_broadcast
+    from lexis.operators.partitioning import spread
+    from lexis.operators.sampling import approx_sample
+    from lexis.operators.train import with_validation_flag
+    from lexis.session import recommended_conf
+
+    preds = spark.createDataFrame([(i, i % 3, (i + (i % 2)) % 3) for i in range(30)],
+                                  "doc_id long, y_true int, y_pred int")
+    assert X.pair_filter(preds, 1, 0).count() == preds.filter("y_pred = 1 and y_true = 0").count()
+    assert X.class_filter(preds, []).count() == 30 and X.class_filter(preds, [0]).count() == 10
+    counts = {r["label"]: (r["n"], r["is_total"]) for r in
+              P.class_counts(spark.createDataFrame([("a",), ("a",), ("b",)], "label string")).collect()}
+    assert counts == {"a": (2, False), "b": (1, False), None: (3, True)}
+    n = approx_sample(spark.range(20000).select(F.col("id").alias("doc_id")), 0.1).count()
+    assert 1700 < n < 2300
+    v = with_validation_flag(spark.range(20000).select(F.col("id").alias("doc_id")), "doc_id", 0.1)
+    assert 1700 < v.filter("is_val").count() < 2300
+    small = spark.range(5)
+    assert "Broadcast" in bounded_broadcast(small, 10).join(spark.range(100), "id")._jdf.queryExecution() \
+        .executedPlan().toString()
+    one = spark.range(1000).coalesce(1)
+    assert spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism * 2)
+    assert spread(wide, "id") is wide
+    conf = recommended_conf(100 << 40, 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    toks = spark.createDataFrame([(0, ["b", "a"])], "doc_id long, tokens array<string>")
+    assert sorted((r["word"], r["x"]) for r in X.empty_word_table(toks, ["x"]).collect()) == [("a", 0), ("b", 0)]
+
+
+def test_results_parts_and_lookup(spark):
+    res = spark.createDataFrame([("bert-base-uncased", 0.8, 0.7), ("plain", 0.5, 0.4)],
+                                "model_name string, accuracy double, f1 double")
+    parts = {r["model_name"]: (r["model"], r["embedding"], r["accuracy"]) for r in V.results_with_parts(res).collect()}
+    assert parts == {"bert-base-uncased": ("bert", "base-uncased", 80.0), "plain": ("plain", None, 50.0)}
+    assert V.model_accuracy(res, "plain").collect()[0]["accuracy"] == 0.5
