@@ -83,12 +83,20 @@ def word_distribution_for_classes(tokens: DataFrame, class_col: str, classes: li
                                   selected: list[str], unique_only: bool = False,
                                   tokens_col: str = "tokens") -> DataFrame:
     """Counts over documents of ``selected`` classes only; every vocabulary word and
-    every class column stays (zeros elsewhere)."""
-    vocab = vocabulary(tokens, tokens_col)
-    chosen = tokens.filter(F.col(class_col).isin(selected)) if selected else tokens
-    counts = word_class_counts(chosen, class_col, classes, unique_only, tokens_col)
-    out = vocab.join(counts, "word", "left").na.fill(0, subset=classes + ["total"])
-    return out.select("word", *classes, "total")
+    every class column stays (zeros elsewhere).
+
+    One aggregation over all words (so the whole vocabulary is present) whose
+    class counts only see the selected classes - no second pass, no join.
+    """
+    words = explode_words(tokens, ["doc_id", class_col], tokens_col)
+    if unique_only:
+        words = words.select("doc_id", class_col, "word").distinct()
+    chosen = set(selected) if selected else set(classes)
+    per_class = [(F.count(F.when(F.col(class_col) == F.lit(c), 1)) if c in chosen
+                  else F.lit(0).cast("long")).alias(c) for c in classes]
+    wide = words.groupBy("word").agg(*per_class)
+    total = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
+    return wide.withColumn("total", total.cast("long")).select("word", *classes, "total")
 
 
 def rank_slice(df: DataFrame, order_cols: list, start: int, end: int) -> DataFrame:
