@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexis.functions.arrays import seeded_key, unit_interval
+from lexis.operators.joins import bounded_broadcast_bytes
 
 
 def one_synonym_per_word(synonyms: DataFrame, seed: str = "42") -> DataFrame:
@@ -26,7 +27,7 @@ def synonym_augment(tokens: DataFrame, synonyms: DataFrame, aug_p: float = 0.5,
     Per token: one join to the synonym table; per copy: one aggregation
     bounded by the document's length.
     """
-    syn = one_synonym_per_word(synonyms, seed)
+    syn, _ = bounded_broadcast_bytes(one_synonym_per_word(synonyms, seed), 96)
     other = [c for c in tokens.columns if c not in (doc_col, tokens_col)]
     chosen = tokens.filter(unit_interval(seeded_key(f"{seed}-row", doc_col)) < F.lit(return_p))
     ex = chosen.select(doc_col, *other, F.posexplode_outer(tokens_col).alias("pos", "word"))

@@ -19,3 +19,21 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+# A side is broadcast only if rows * estimated row size stays under this many bytes.
+DEFAULT_BROADCAST_BYTES = 256 << 20
+
+
+def bounded_broadcast_bytes(df: DataFrame, row_bytes: int,
+                            max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` when ``rows * row_bytes <= max_bytes`` (rows counted, capped).
+
+    Returns ``(df_or_broadcast, broadcast?)``.  Used for word-vector tables
+    joined to every token: broadcasting them removes the token shuffle and
+    with it the hot-word skew.  Beyond the budget the join is a sort-merge
+    join whose skewed word partitions AQE splits at run time.
+    """
+    cap = max(max_bytes // max(row_bytes, 1), 1)
+    n = df.limit(cap + 1).count()
+    return (F.broadcast(df), True) if n <= cap else (df, False)
