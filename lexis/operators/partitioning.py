@@ -16,7 +16,11 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     reuse the partitioning).  A scan that is already wide - the normal case
     for a large table - is returned unchanged: no extra shuffle of the text.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan alone
+        return df
+    if current >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
