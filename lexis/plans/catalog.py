@@ -716,3 +716,48 @@ def q_argmax_decode(spark, sf):
     from lexis.operators.scoring import argmax_decode
     d = argmax_decode(s.drop("y_pred"), "probs")
     return d.select("doc_id", "y_pred", r6(F.array_max("probs")).alias("p_max"))
+
+
+# =============================================================== more single operators
+@register("word_table_empty", sql(CORPUS_SQL, body="""
+SELECT word, {zeros} FROM (SELECT DISTINCT word FROM words)""".format(
+    zeros=", ".join(f"0::BIGINT AS {c}" for c in CORPUS_CLASSES))))
+def q_word_table_empty(spark, sf):
+    """The vocabulary with a zero column per class."""
+    return X.empty_word_table(fx.tokens(spark, sf), fx.class_names(spark, sf))
+
+
+@register("pair_predictions", sql(CORPUS_SQL, PREDICTIONS_SQL, RUN_PREDS_SQL, body=f"""
+SELECT doc_id, y_true, y_pred FROM pr
+WHERE y_pred = (SELECT code FROM codes WHERE label = '{CMP_PRED}')
+  AND y_true = (SELECT code FROM codes WHERE label = '{CMP_TRUE}')"""))
+def q_pair_predictions(spark, sf):
+    """Predictions of one (predicted, true) class pair."""
+    code = {r["label"]: r["code"] for r in _names(spark, sf).collect()}
+    return X.pair_filter(_run_preds(spark, sf), code[CMP_PRED], code[CMP_TRUE]).select("doc_id", "y_true", "y_pred")
+
+
+@register("report_layout", sql(*EVAL_CTES, REPORT_SQL, body="""
+SELECT CASE WHEN class <> 'accuracy' THEN class END AS class,
+       CASE WHEN class <> 'accuracy' THEN round(precision, 6) END AS precision,
+       CASE WHEN class <> 'accuracy' THEN round(recall, 6) END AS recall,
+       CASE WHEN class <> 'accuracy' THEN round(f1_score, 6) END AS "f1-score",
+       CASE WHEN class <> 'accuracy' THEN support::DOUBLE END AS support,
+       CASE WHEN class = 'accuracy' THEN round(f1_score, 6) END AS accuracy
+FROM report WHERE model_name = 'svm-word2vec'"""))
+def q_report_layout(spark, sf):
+    """K4: one run's report in the stored file layout (accuracy row carries only ``accuracy``)."""
+    from lexis.sinks.writers import report_file_layout
+    conf = _conf(spark, sf).filter(F.col("model_name") == "svm-word2vec").drop("model_name")
+    lay = report_file_layout(V.classification_report(conf, _names(spark, sf)))
+    return lay.select("class", *[r6(F.col(f"`{c}`")).alias(c) for c in ["precision", "recall", "f1-score"]],
+                      "support", r6("accuracy").alias("accuracy"))
+
+
+@register("approximate_sample", sql(CORPUS_SQL, body="""
+SELECT doc_id, label FROM corpus
+WHERE ('0x' || substr(md5('42-' || doc_id), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < 0.075"""))
+def q_approximate_sample(spark, sf):
+    """P4 (approximate form): seeded md5 filter, no job, no shuffle."""
+    from lexis.operators.sampling import approx_sample
+    return approx_sample(fx.corpus(spark, sf), P.SAMPLE_RATE, seed=SAMPLE_SEED).select("doc_id", "label")
