@@ -13,13 +13,6 @@ from pyspark.sql import functions as F
 from lexis.functions.names import split_model_name
 
 
-def _keyed(conf: DataFrame, g: list[str]):
-    """Group keys for the per-group joins; a constant key when there are no groups."""
-    if g:
-        return conf, g, g
-    return conf.withColumn("_all", F.lit(1)), ["_all"], []
-
-
 def _zero_div(num, den):
     """``num / den`` with 0 when the denominator is 0 (sklearn's zero_division=0)."""
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den.cast("double"))
@@ -59,10 +52,10 @@ def class_stats(conf: DataFrame, group_cols: list[str] | None = None) -> DataFra
 
 
 def per_class_metrics(conf: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
-    """V3: ``group..., cls, precision, recall, f1_score, support``; 0 when a denominator is 0."""
+    """V3: ``group..., cls, precision, recall, f1_score, support, tp``; 0 when a denominator is 0."""
     g = list(group_cols or [])
     s = class_stats(conf, g)
-    return s.select(*g, "cls",
+    return s.select(*g, "cls", "tp",
                     _zero_div(F.col("tp"), F.col("predicted")).alias("precision"),
                     _zero_div(F.col("tp"), F.col("support")).alias("recall"),
                     _zero_div(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1_score"),
@@ -70,15 +63,16 @@ def per_class_metrics(conf: DataFrame, group_cols: list[str] | None = None) -> D
 
 
 def accuracy_f1(conf: DataFrame, group_cols: list[str] | None = None, digits: int = 4) -> DataFrame:
-    """V1 + V2: accuracy and macro F1, half-even rounded to ``digits``."""
+    """V1 + V2: accuracy and macro F1, half-even rounded to ``digits``.
+
+    Both come from the per-class table in one aggregation: accuracy is
+    sum(tp) / sum(support) (= trace / total), macro F1 the mean class F1.
+    """
     g = list(group_cols or [])
-    conf, key, g = _keyed(conf, g)
-    acc = conf.groupBy(*key).agg(
-        (F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
-         / F.sum("n")).alias("accuracy"))
-    f1 = per_class_metrics(conf, key).groupBy(*key).agg(F.avg("f1_score").alias("f1"))
-    return acc.join(f1, key, "inner").select(*g, F.bround("accuracy", digits).alias("accuracy"),
-                                             F.bround("f1", digits).alias("f1"))
+    m = per_class_metrics(conf, g)
+    return m.groupBy(*g).agg(
+        F.bround(F.sum("tp") / F.sum("support"), digits).alias("accuracy"),
+        F.bround(F.avg("f1_score"), digits).alias("f1"))
 
 
 def classification_report(conf: DataFrame, names: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
@@ -89,23 +83,19 @@ def classification_report(conf: DataFrame, names: DataFrame, group_cols: list[st
     and ``weighted avg``.  ``row_order`` keeps the reference's row order.
     """
     g = list(group_cols or [])
-    conf, key, g = _keyed(conf, g)
-    m = per_class_metrics(conf, key)
+    m = per_class_metrics(conf, g)
     lookup = F.broadcast(names.select(F.col("code").alias("cls"), F.col("label").alias("class")))
     cls_rows = (m.join(lookup, "cls", "left")
                 .select(*g, F.coalesce(F.col("class"), F.col("cls").cast("string")).alias("class"),
                         "precision", "recall", "f1_score", "support",
                         F.col("cls").cast("int").alias("row_order")))
-    tot = m.groupBy(*key).agg(
+    tot = m.groupBy(*g).agg(
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1_score").alias("mf"),
         (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
         (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
         (F.sum(F.col("f1_score") * F.col("support")) / F.sum("support")).alias("wf"),
-        F.sum("support").alias("support"), F.count(F.lit(1)).alias("k"))
-    acc = conf.groupBy(*key).agg(
-        (F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0))
-         / F.sum("n")).alias("acc"))
-    tot = tot.join(acc, key, "inner")
+        F.sum("support").alias("support"), F.count(F.lit(1)).alias("k"),
+        (F.sum("tp") / F.sum("support")).alias("acc"))
     none = F.lit(None).cast("double")
     summary = tot.select(*g, F.explode(F.array(
         F.struct(F.lit("accuracy").alias("class"), none.alias("precision"), none.alias("recall"),

@@ -18,6 +18,8 @@ folder) unless a location is passed.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,8 +55,17 @@ def prepare_stream(docs: DataFrame, codes: DataFrame, test_size: float = 0.1, se
             .join(F.broadcast(codes), "label", "inner"))
 
 
-def _checkpoint(spark: SparkSession, name: str, location: str | None) -> str:
-    return location or f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+def _checkpoint(spark: SparkSession, name: str, location: str | None, sink: str) -> str:
+    """Checkpoint folder of one stream: given, or ``<spark.checkpoint.dir>/streams/<name>-<hash(sink)>``.
+
+    Tied to the sink, so restarting the same stream resumes where it stopped
+    (exactly-once with the file sink) while streams writing elsewhere never
+    share offsets.
+    """
+    if location:
+        return location
+    digest = hashlib.md5(sink.encode("utf8")).hexdigest()[:16]
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{digest}"
 
 
 def stream_prepare(spark: SparkSession, source: str, codes: DataFrame, out_path: str,
@@ -62,7 +73,7 @@ def stream_prepare(spark: SparkSession, source: str, codes: DataFrame, out_path:
     """Start the preparation stream (append to ``out_path`` partitioned by split); returns the query."""
     rows = prepare_stream(read_document_stream(spark, source), codes, test_size)
     writer = (rows.writeStream.format("parquet").option("path", out_path)
-              .option("checkpointLocation", _checkpoint(spark, "prepare", checkpoint))
+              .option("checkpointLocation", _checkpoint(spark, "prepare", checkpoint, out_path))
               .partitionBy("split").outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
@@ -85,6 +96,7 @@ def stream_word_class_counts(spark: SparkSession, source: str, classes: list[str
     """
     agg = word_class_counts_stream(read_document_stream(spark, source), classes)
     writer = (agg.writeStream.format("memory").queryName(query_name).outputMode("complete")
-              .option("checkpointLocation", _checkpoint(spark, query_name, checkpoint)))
+              .option("checkpointLocation", _checkpoint(spark, query_name, checkpoint,
+                                                        f"memory:{query_name}:{source}")))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -27,7 +27,8 @@ def test_stream_prepare_matches_batch_tokens(spark):
 
 def test_stream_word_counts_match_batch(spark):
     classes = fx.class_names(spark, SF)
-    q = stream_word_class_counts(spark, SOURCE, classes, "lexis_wc_test")
+    ckpt = tempfile.mkdtemp(prefix="lexis-stream-ckpt-", dir="/tmp")
+    q = stream_word_class_counts(spark, SOURCE, classes, "lexis_wc_test", checkpoint=ckpt)
     q.awaitTermination(120)
     got = spark.table("lexis_wc_test")
     batch = X.word_class_counts(fx.tokens(spark, SF), "label", classes)
