@@ -153,7 +153,8 @@ def class_metric_pivot(reports: DataFrame, model: str, metric: str,
             .select(m.alias("model"), emb.alias("embedding"), "class", F.col(metric).alias("v"))
             .filter(F.col("model") == model))
     wide = rows.groupBy("class").pivot("embedding", embeddings).agg(F.first("v"))
-    floor = F.least(*[F.min(F.col(e)).over(Window.partitionBy()) for e in embeddings]) - F.lit(0.15)
+    mins = [F.min(F.col(e)).over(Window.partitionBy()) for e in embeddings]
+    floor = (F.least(*mins) if len(mins) > 1 else mins[0]) - F.lit(0.15)
     return wide.withColumn("axis_floor", floor)
 
 
