@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexis.functions.arrays import seeded_key, unit_interval
-from lexis.operators.joins import bounded_broadcast_bytes
+from lexis.operators.joins import bounded_broadcast_bytes, hot_keys, salted_join
 
 
 def one_synonym_per_word(synonyms: DataFrame, seed: str = "42") -> DataFrame:
@@ -27,11 +27,15 @@ def synonym_augment(tokens: DataFrame, synonyms: DataFrame, aug_p: float = 0.5,
     Per token: one join to the synonym table; per copy: one aggregation
     bounded by the document's length.
     """
-    syn, _ = bounded_broadcast_bytes(one_synonym_per_word(synonyms, seed), 96)
+    syn, small = bounded_broadcast_bytes(one_synonym_per_word(synonyms, seed), 96)
     other = [c for c in tokens.columns if c not in (doc_col, tokens_col)]
     chosen = tokens.filter(unit_interval(seeded_key(f"{seed}-row", doc_col)) < F.lit(return_p))
     ex = chosen.select(doc_col, *other, F.posexplode_outer(tokens_col).alias("pos", "word"))
-    j = ex.join(syn, "word", "left")
+    if small:
+        j = ex.join(syn, "word", "left")
+    else:  # sort-merge on the word: salt the frequent words (see ``salted_join``)
+        hot = hot_keys(ex.filter(F.col("word").isNotNull()), "word", seed_col=doc_col)
+        j = salted_join(ex, syn, "word", hot, 32, spread_col=doc_col, how="left")
     flip = unit_interval(seeded_key(f"{seed}-word", doc_col, "pos")) < F.lit(aug_p)
     w = F.when(F.col("synonym").isNotNull() & flip, F.col("synonym")).otherwise(F.col("word"))
     entry = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), w.alias("w")))

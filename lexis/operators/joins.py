@@ -37,3 +37,40 @@ def bounded_broadcast_bytes(df: DataFrame, row_bytes: int,
     cap = max(max_bytes // max(row_bytes, 1), 1)
     n = df.limit(cap + 1).count()
     return (F.broadcast(df), True) if n <= cap else (df, False)
+
+
+def hot_keys(df: DataFrame, key: str, top: int = 256, sample_frac: float = 0.01,
+             seed_col: str | None = None) -> list:
+    """The ``top`` most frequent values of ``key`` in a seeded sample (bounded list).
+
+    The sample only decides *which* keys get salted; it never changes a result.
+    """
+    from lexis.functions.arrays import seeded_key, unit_interval
+    basis = F.col(seed_col) if seed_col else F.col(key)
+    sampled = df.filter(unit_interval(seeded_key("hot", basis)) < F.lit(sample_frac))
+    rows = (sampled.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+            .orderBy(F.desc("n")).limit(top).collect())
+    return [r[key] for r in rows]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, salts: int,
+                spread_col: str, how: str = "left") -> DataFrame:
+    """Equi-join on ``key`` with the ``hot`` keys spread over ``salts`` partitions.
+
+    Left rows of a hot key get salt ``pmod(hash(spread_col), salts)``
+    (deterministic, so a retried task reproduces its partitioning); right
+    rows of a hot key are replicated once per salt; every other key keeps
+    salt 0.  The join result is the same as the plain join; a key holding a
+    third of all rows is processed by ``salts`` tasks instead of one.
+    """
+    if not hot or salts <= 1:
+        return left.join(right, key, how)
+    hot_arr = F.array(*[F.lit(h) for h in hot])
+    l_salt = F.when(F.array_contains(hot_arr, F.col(key)),
+                    F.pmod(F.xxhash64(F.col(spread_col)), F.lit(salts))).otherwise(F.lit(0))
+    r_salts = F.when(F.array_contains(hot_arr, F.col(key)),
+                     F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+                     ).otherwise(F.array(F.lit(0).cast("long")))
+    l2 = left.withColumn("_salt", l_salt.cast("long"))
+    r2 = right.withColumn("_salt", F.explode(r_salts))
+    return l2.join(r2, [key, "_salt"], how).drop("_salt")

@@ -210,3 +210,13 @@ def test_results_parts_and_lookup(spark):
     parts = {r["model_name"]: (r["model"], r["embedding"], r["accuracy"]) for r in V.results_with_parts(res).collect()}
     assert parts == {"bert-base-uncased": ("bert", "base-uncased", 80.0), "plain": ("plain", None, 50.0)}
     assert V.model_accuracy(res, "plain").collect()[0]["accuracy"] == 0.5
+
+
+def test_salted_vector_join_equals_broadcast(spark):
+    docs = _tok(spark, [["the", "the", "a", "zzz"]] * 30 + [["b", "the"], []])
+    vecs = spark.createDataFrame([("the", [1.0, 2.0]), ("a", [3.0, 4.0]), ("b", [5.0, 7.0])],
+                                 "word string, vec array<float>")
+    small = {r["doc_id"]: (r["n_known"], r["vec"]) for r in E.doc_vectors_mean(docs, vecs, 2).collect()}
+    salted = E.doc_vectors_mean(docs, vecs, 2, broadcast_bytes=0, salts=4, hot_sample_frac=1.0)
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: (r["n_known"], r["vec"]) for r in salted.collect()} == small
