@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexis.functions.arrays import one_hot, seeded_key
 from lexis.functions.text import word_tokens
 from lexis.operators.joins import bounded_broadcast
-from lexis.operators.sampling import kth_smallest_key, lowest_k
+from lexis.operators.sampling import kth_smallest_key
 
 # Fixed defaults of the reference's preparation job.
 SAMPLE_RATE = 0.075
@@ -101,8 +101,3 @@ def train_test_split(df: DataFrame, test_size: float = TEST_SIZE, seed: str = "4
     return (keyed.withColumn("split", F.when(is_test, "test").otherwise("train"))
             .drop("_skey"))
 
-
-def exact_lowest(df: DataFrame, k: int, seed: str, id_col: str = "doc_id") -> DataFrame:
-    """The ``k`` rows with the smallest seeded key (building block of P4/X10)."""
-    keyed = df.withColumn("_key", seeded_key(seed, id_col))
-    return lowest_k(keyed, "_key", k).drop("_key")

@@ -18,7 +18,6 @@ rows as ``ORDER BY key LIMIT k`` in any engine.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,11 +28,6 @@ from lexis.functions.arrays import hex_int, seeded_key, unit_interval
 BUCKET_HEX = 5
 
 
-def round_half_even(x: float) -> int:
-    """Python/NumPy rounding of the sample size (``round(frac * n)``)."""
-    return int(round(x))
-
-
 def kth_smallest_key(df: DataFrame, key: str, k: int | None = None,
                      k_of_n: Callable[[Column], Column] | None = None) -> str | None:
     """The k-th smallest value of string column ``key`` (1-based), or None if k <= 0.
@@ -74,14 +68,6 @@ def lowest_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.filter(F.col(key) <= F.lit(t))
 
 
-def lowest_k_flag(df: DataFrame, key: str, k: int) -> Column:
-    """Boolean column: row is among the ``k`` smallest keys of ``df``."""
-    t = kth_smallest_key(df, key, k)
-    if t is None:
-        return F.lit(False)
-    return F.col(key) <= F.lit(t)
-
-
 def exact_sample(df: DataFrame, frac: float, seed: int | str = 42, id_col: str = "doc_id") -> DataFrame:
     """Exactly ``round(frac * n)`` rows (half to even), chosen by a seeded md5 order of ``id_col``."""
     keyed = df.withColumn("_key", seeded_key(seed, id_col))
@@ -95,7 +81,3 @@ def approx_sample(df: DataFrame, frac: float, seed: int | str = 42,
                   id_col: str = "doc_id") -> DataFrame:
     """P4 (approximate): keep rows whose seeded md5 maps below ``frac``; one filter, no job."""
     return df.filter(unit_interval(seeded_key(seed, id_col)) < F.lit(frac))
-
-
-def ceil_div(n: int, factor: float) -> int:
-    return int(math.ceil(n / factor))

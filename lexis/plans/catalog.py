@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.functions.text import join_tokens, space_word_count
+from lexis.functions.text import join_tokens, word_tokens
 from lexis.operators import analysis as X
 from lexis.operators import eda as A
 from lexis.operators import evaluate as V
@@ -73,10 +73,6 @@ def _classes_sql(expr: str, agg: str = "count(*)") -> str:
     return ", ".join(f"{agg} FILTER (WHERE {expr} = '{c}') AS {c}" for c in CORPUS_CLASSES)
 
 
-def _class_sum_sql() -> str:
-    return " + ".join(CORPUS_CLASSES)
-
-
 # =============================================================== explore
 LENS_SQL = "lens AS (SELECT len(string_split(text, ' '))::INTEGER AS x FROM corpus)"
 
@@ -263,8 +259,7 @@ vocab AS (SELECT (row_number() OVER (ORDER BY n DESC, fs))::INTEGER AS idx, word
 
 def _train_vocab(spark, sf) -> DataFrame:
     split = P.train_test_split(fx.corpus(spark, sf), P.TEST_SIZE, seed=SPLIT_SEED)
-    train = split.filter(F.col("split") == "train").select("doc_id", F.expr("text"))
-    from lexis.functions.text import word_tokens
+    train = split.filter(F.col("split") == "train").select("doc_id", "text")
     return S.fit_vocabulary(train.select("doc_id", word_tokens("text").alias("tokens")), MAX_WORDS)
 
 
