@@ -171,7 +171,8 @@ def attribution_weights(attr: DataFrame, data_prop: float = 0.05, threshold: flo
     and weights with ``|w| >= threshold`` are labelled ``pos``/``neg``.
     The reference groups them into per-class lists; a list per class is an
     unbounded group, so the result stays long, keyed by ``y_pred, polarity``.
-    ``is_display`` marks the ~``n_samples`` documents kept for display.
+    ``is_display`` marks the ~``n_samples`` documents kept for display; pass
+    ``n_docs`` (the number of documents scored) to avoid counting ``attr``.
     """
     doc_key = seeded_key(seed, "doc_id")
     out = attr.filter(unit_interval(doc_key) < F.lit(data_prop))

@@ -640,13 +640,15 @@ att AS (SELECT a.*, ('0x' || substr(md5('42-' || a.doc_id), 1, 8))::BIGINT::DOUB
                ('0x' || substr(md5('42-display-' || a.doc_id), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS ud
         FROM attr a),
 aw AS (SELECT y_pred, CASE WHEN weight > 0 THEN 'pos' ELSE 'neg' END AS polarity, doc_id, pos, word, weight,
-              ud < 10.0::DOUBLE / (SELECT count(DISTINCT doc_id) FROM attr) AS is_display
+              ud < 10.0::DOUBLE / (SELECT count(*) FROM preds WHERE model_name = 'xgb-glove') AS is_display
        FROM att WHERE u < 0.05 AND abs(weight) >= 1.0 AND weight <> 0)"""
 
 
 def _attr_weights(spark, sf) -> DataFrame:
+    # display rate = n_samples / number of documents of the run (a doc_id-only scan)
+    n_docs = _run_preds(spark, sf).count()
     return X.attribution_weights(fx.attributions(spark, sf), data_prop=0.05, threshold=1.0,
-                                 correct=None, n_samples=10, seed="42")
+                                 correct=None, n_samples=10, seed="42", n_docs=n_docs)
 
 
 @register("attribution_weights", sql(CORPUS_SQL, PREDICTIONS_SQL, ATTRIBUTIONS_SQL, ATTR_W_SQL, body="""
