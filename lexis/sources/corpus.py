@@ -18,9 +18,17 @@ CORPUS_CSV_SCHEMA = T.StructType([
 ])
 
 
+# input tables are immutable for a session: list files and read footers once
+_TABLES: dict[tuple[int, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table: ``<sf_dir>/<name>.parquet``."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One driver table: ``<sf_dir>/<name>.parquet`` (read once per session, then reused)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def read_corpus_csv(spark: SparkSession, path: str, schema: T.StructType = CORPUS_CSV_SCHEMA,
