@@ -67,7 +67,7 @@ def cmd_analyse(spark: SparkSession, a) -> None:
     from lexis.plans import jobs
     from lexis.sources import stored as S
     classes = [r["label"] for r in S.read_label_map(spark, f"{a.base}/label_map").orderBy("code").collect()]
-    out = jobs.post_analysis(spark, a.base, a.model, classes, a.embeddings)
+    out = jobs.analyse_results(spark, a.base, a.model, classes, a.embeddings)
     for name, df in out.items():
         df.write.mode("overwrite").parquet(f"{a.base}/analysis/{a.model}/{name}")
         print(name, f"{a.base}/analysis/{a.model}/{name}")

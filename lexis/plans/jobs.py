@@ -3,7 +3,7 @@
 * ``prepare``      - entry 1: read, drop nulls, sample, code labels, tokenize,
                      undersample, split, document vectors per embedding, empty result tables.
 * ``run_all``      - entry 2: per embedding, grid search, predict, evaluate, store.
-* ``post_analysis``- entry 3: leaderboards, class-metric pivots, confusion roll-ups.
+* ``analyse_results`` - entry 3: leaderboards, class-metric pivots, confusion roll-ups.
 
 Stages hand over through written tables (Parquet in ``base``), which also
 cut the lineage: a lost executor recomputes from the last written table,
@@ -93,7 +93,7 @@ def run_all(spark: SparkSession, base: str, paths: dict[str, str], model_name: s
     return stored
 
 
-def post_analysis(spark: SparkSession, base: str, model: str, classes: list[str],
+def analyse_results(spark: SparkSession, base: str, model: str, classes: list[str],
                   embeddings: list[str], metric: str = "f1-score") -> dict[str, DataFrame]:
     """Entry 3 over the stored results: leaderboards, per-class metric pivot, confusion roll-up."""
     results = S.read_results(spark, f"{base}/results")

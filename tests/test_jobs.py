@@ -28,7 +28,7 @@ def _logistic():
     return lr, ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).build()
 
 
-def test_prepare_run_all_post_analysis(spark, base):
+def test_prepare_run_all_analyse_results(spark, base):
     corpus = load_corpus(spark, SF_TINY)
     vecs = word_vectors(spark, SF_TINY, WORD_VEC_DIM)
     paths = jobs.prepare(spark, corpus, base, {"glove": lambda s: vecs, "word2vec": lambda s: vecs},
@@ -56,7 +56,7 @@ def test_prepare_run_all_post_analysis(spark, base):
     assert S.read_results(spark, f"{base}/results").count() == 2
 
     classes = [r["label"] for r in S.read_label_map(spark, paths["label_map"]).orderBy("code").collect()]
-    out = jobs.post_analysis(spark, base, "svm", classes, ["word2vec", "glove", "fasttext", "custom"])
+    out = jobs.analyse_results(spark, base, "svm", classes, ["word2vec", "glove", "fasttext", "custom"])
     assert out["by_model"].count() == 1
     assert out["class_metric_pivot"].count() == len(classes)
     roll = out["confusion_rollup"].agg(F.sum("n")).collect()[0][0]
