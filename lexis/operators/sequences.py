@@ -40,7 +40,7 @@ def fit_vocabulary(tokens: DataFrame, max_words: int = MAX_WORDS,
 
 def token_ids(tokens: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
               doc_col: str = "doc_id", offset: int = 0, unknown_id: int | None = None,
-              keep: list[str] | None = None) -> DataFrame:
+              keep: list[str] | None = None, max_words: int = MAX_WORDS) -> DataFrame:
     """``doc_id, ids`` - vocabulary ids in token order; unknown words dropped
     (or mapped to ``unknown_id``).  Documents without any known word keep an
     empty array.
@@ -48,8 +48,11 @@ def token_ids(tokens: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
     One broadcast join (the vocabulary is capped) and one aggregation per
     document; the per-document list is bounded by the document's length.
     ``keep``: per-document columns carried through the aggregation (no re-join).
+    Only ids below ``max_words`` are used (the reference's ``num_words`` rule),
+    which also bounds the broadcast side to ``max_words - 1`` rows.
     """
-    lookup = F.broadcast(vocab.select("word", (F.col("idx") + F.lit(offset)).alias("id")))
+    capped = vocab.filter(F.col("idx") < F.lit(max_words))  # idx is unique: <= max_words - 1 rows
+    lookup = F.broadcast(capped.select("word", (F.col("idx") + F.lit(offset)).alias("id")))
     keep = list(keep or [])
     ex = tokens.select(doc_col, *keep, F.posexplode_outer(tokens_col).alias("pos", "word"))
     joined = ex.join(lookup, "word", "left")
