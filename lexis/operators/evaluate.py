@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexis.functions.names import split_model_name
+from lexis.operators.joins import bounded_broadcast
+
+MAX_LABELS = 10_000
 
 
 def _zero_div(num, den):
@@ -84,7 +87,8 @@ def classification_report(conf: DataFrame, names: DataFrame, group_cols: list[st
     """
     g = list(group_cols or [])
     m = per_class_metrics(conf, g)
-    lookup = F.broadcast(names.select(F.col("code").alias("cls"), F.col("label").alias("class")))
+    lookup = bounded_broadcast(names.select(F.col("code").alias("cls"), F.col("label").alias("class")),
+                               MAX_LABELS)
     cls_rows = (m.join(lookup, "cls", "left")
                 .select(*g, F.coalesce(F.col("class"), F.col("cls").cast("string")).alias("class"),
                         "precision", "recall", "f1_score", "support",
@@ -112,11 +116,11 @@ def confusion_dense(conf: DataFrame, names: DataFrame, classes: list[str],
                     group_cols: list[str] | None = None) -> DataFrame:
     """rows = actual class, one column per predicted class (explicit pivot values)."""
     g = list(group_cols or [])
-    lookup = names.select(F.col("code"), F.col("label"))
-    named = (conf.join(F.broadcast(lookup.withColumnRenamed("code", "y_true")
-                                   .withColumnRenamed("label", "actual")), "y_true", "left")
-             .join(F.broadcast(lookup.withColumnRenamed("code", "y_pred")
-                               .withColumnRenamed("label", "predicted")), "y_pred", "left"))
+    lookup = bounded_broadcast(names.select(F.col("code"), F.col("label")), MAX_LABELS)
+    named = (conf.join(lookup.withColumnRenamed("code", "y_true")
+                       .withColumnRenamed("label", "actual"), "y_true", "left")
+             .join(lookup.withColumnRenamed("code", "y_pred")
+                   .withColumnRenamed("label", "predicted"), "y_pred", "left"))
     return (named.groupBy(*g, "actual").pivot("predicted", classes).agg(F.sum("n"))
             .na.fill(0, subset=classes))
 

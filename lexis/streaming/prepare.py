@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from lexis.functions.arrays import seeded_key, unit_interval
 from lexis.functions.text import word_tokens
+from lexis.operators.joins import bounded_broadcast
 from lexis.session import ensure_checkpoint_dir
 
 DOCUMENT_SCHEMA = T.StructType([
@@ -52,7 +53,7 @@ def prepare_stream(docs: DataFrame, codes: DataFrame, test_size: float = 0.1, se
     """Streaming rows ``doc_id, label, code, tokens, split`` (a stateless projection + broadcast join)."""
     split = F.when(unit_interval(seeded_key(f"{seed}s", "doc_id")) < F.lit(test_size), "test").otherwise("train")
     return (docs.select("doc_id", "label", word_tokens("text").alias("tokens"), split.alias("split"))
-            .join(F.broadcast(codes), "label", "inner"))
+            .join(bounded_broadcast(codes, 10_000), "label", "inner"))
 
 
 def _checkpoint(spark: SparkSession, name: str, location: str | None, sink: str) -> str:
