@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.sources.stored import PARAMS_SCHEMA, RESULTS_SCHEMA
+from lexis.sources.stored import PARAMS_SCHEMA, RESULTS_SCHEMA, committed_versions
 
 
 def write_split(df: DataFrame, path: str, overwrite: bool) -> None:
@@ -41,22 +41,21 @@ def upsert_versioned(new: DataFrame, path: str, key: str = "model_name") -> int:
     """Keyed upsert as a new snapshot ``version=<n+1>``.
 
     Old rows whose key appears in ``new`` are dropped (left anti join), the
-    new rows appended, and the result appended as the next version; readers
-    take the highest version (``read_versioned``).  The previous snapshot
-    stays intact until the new one is committed.  Returns the new version.
+    new rows appended, and the result written as the next version; readers
+    take the highest *committed* version (``read_versioned``).  The previous
+    snapshot is never touched, so a failed write cannot damage it.  Returns the
+    new version.
     """
     spark = new.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-        version = existing.agg(F.max("version")).collect()[0][0]
-    except Exception:  # noqa: BLE001 - no table yet
-        existing, version = None, None
-    if version is None:
+    versions = committed_versions(spark, path)
+    if not versions:
         merged, nxt = new, 0
     else:
-        old = existing.filter(F.col("version") == version).drop("version")
-        merged, nxt = old.join(new.select(key).distinct(), key, "left_anti").unionByName(new), version + 1
-    merged.withColumn("version", F.lit(nxt)).write.mode("append").partitionBy("version").parquet(path)
+        old = spark.read.parquet(f"{path}/version={versions[0]}")
+        merged, nxt = old.join(new.select(key).distinct(), key, "left_anti").unionByName(new), versions[0] + 1
+    # each snapshot is its own directory with its own _SUCCESS marker; a write
+    # that died before committing is ignored by readers and overwritten here
+    merged.write.mode("overwrite").parquet(f"{path}/version={nxt}")
     return nxt
 
 
@@ -64,11 +63,9 @@ def create_results_tables(spark: SparkSession, base: str, overwrite_results: boo
                           overwrite_params: bool) -> None:
     """K3: empty results / best-parameter tables when the flags are set."""
     if overwrite_results:
-        spark.createDataFrame([], RESULTS_SCHEMA).withColumn("version", F.lit(0)) \
-            .write.mode("overwrite").partitionBy("version").parquet(f"{base}/results")
+        spark.createDataFrame([], RESULTS_SCHEMA).write.mode("overwrite").parquet(f"{base}/results/version=0")
     if overwrite_params:
-        spark.createDataFrame([], PARAMS_SCHEMA).withColumn("version", F.lit(0)) \
-            .write.mode("overwrite").partitionBy("version").parquet(f"{base}/best_params")
+        spark.createDataFrame([], PARAMS_SCHEMA).write.mode("overwrite").parquet(f"{base}/best_params/version=0")
 
 
 def report_file_layout(report: DataFrame) -> DataFrame:

@@ -41,11 +41,28 @@ def read_doc_vectors(spark: SparkSession, path: str, emb_name: str, split: str |
     return df if split is None else df.filter(F.col("split") == split)
 
 
+def committed_versions(spark: SparkSession, path: str) -> list[int]:
+    """Snapshot versions under ``path`` whose write committed (``_SUCCESS`` present), newest first."""
+    try:
+        found = [r[0] for r in spark.read.parquet(path).select("version").distinct().collect()]
+    except Exception:  # noqa: BLE001 - no table yet
+        return []
+    done = []
+    for v in sorted(found, reverse=True):
+        try:
+            spark.read.format("text").load(f"{path}/version={v}/_SUCCESS")
+            done.append(v)
+        except Exception:  # noqa: BLE001 - snapshot whose job never committed
+            continue
+    return done
+
+
 def read_versioned(spark: SparkSession, path: str) -> DataFrame:
-    """Latest snapshot of a versioned table written by ``lexis.sinks.upsert_versioned``."""
-    df = spark.read.parquet(path)
-    latest = df.agg(F.max("version")).collect()[0][0]
-    return df.filter(F.col("version") == latest).drop("version")
+    """Latest committed snapshot of a table written by ``lexis.sinks.upsert_versioned``."""
+    versions = committed_versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no committed snapshot under {path}")
+    return spark.read.parquet(f"{path}/version={versions[0]}")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -96,3 +96,20 @@ def test_corpus_csv_reader_nulls_and_multiline(spark):
 def test_tokens_fixture_reads_only_needed_columns(spark):
     plan = tokens(spark, SF_TINY)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
+
+
+def test_versioned_upsert_ignores_uncommitted_snapshot(spark):
+    import os
+
+    base = tempfile.mkdtemp(prefix="lexis-ver-", dir="/tmp")
+    p = f"{base}/results"
+    K.upsert_versioned(spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 2.0)], S.RESULTS_SCHEMA), p)
+    K.upsert_versioned(spark.createDataFrame([("b", 9.0, 9.0)], S.RESULTS_SCHEMA), p)
+    assert {r["model_name"]: r["accuracy"] for r in S.read_results(spark, p).collect()} == {"a": 1.0, "b": 9.0}
+    # a snapshot whose job never committed (no _SUCCESS) is invisible and gets replaced
+    spark.createDataFrame([("zzz", 0.0, 0.0)], S.RESULTS_SCHEMA).write.parquet(f"{p}/version=2")
+    os.remove(f"{p}/version=2/_SUCCESS")
+    assert S.committed_versions(spark, p) == [1, 0]
+    assert "zzz" not in {r["model_name"] for r in S.read_results(spark, p).collect()}
+    assert K.upsert_versioned(spark.createDataFrame([("c", 3.0, 3.0)], S.RESULTS_SCHEMA), p) == 2
+    assert {r["model_name"] for r in S.read_results(spark, p).collect()} == {"a", "b", "c"}
