@@ -27,14 +27,9 @@ def write_doc_vectors(df: DataFrame, path: str, emb_name: str) -> None:
 
     Dynamic partition overwrite replaces only this embedding's partitions.
     """
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn("emb_name", F.lit(emb_name))
-         .write.mode("overwrite").partitionBy("emb_name", "split").parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.withColumn("emb_name", F.lit(emb_name))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("emb_name", "split").parquet(path))
 
 
 def upsert_versioned(new: DataFrame, path: str, key: str = "model_name") -> int:
