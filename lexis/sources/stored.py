@@ -86,7 +86,8 @@ def read_reports(spark: SparkSession, base: str, pattern: str = "*-results.csv")
     """
     raw = (spark.read.option("header", True).schema(REPORT_SCHEMA).csv(f"{base.rstrip('/')}/{pattern}")
            .withColumn("model_name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)-results\.csv(/[^/]*)?$", 1))
-           .withColumn("_ord", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())))
+           .withColumn("_ord", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                                       F.monotonically_increasing_id())))
     w = Window.partitionBy("model_name").orderBy("_ord")
     return raw.withColumn("row_order", (F.row_number().over(w) - 1).cast("int")).drop("_ord")
 
@@ -107,7 +108,8 @@ def read_conf_matrices(spark: SparkSession, base: str, k: int, pattern: str = "*
     schema = T.StructType([T.StructField(f"c{j}", T.DoubleType()) for j in range(k)])
     raw = (spark.read.option("header", False).schema(schema).csv(f"{base.rstrip('/')}/{pattern}")
            .withColumn("model_name", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)-conf_mat\.csv(/[^/]*)?$", 1))
-           .withColumn("_ord", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())))
+           .withColumn("_ord", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+                                       F.monotonically_increasing_id())))
     w = Window.partitionBy("model_name").orderBy("_ord")
     rows = raw.withColumn("y_true", (F.row_number().over(w) - 1).cast("int"))
     stack = "stack({k}, {pairs}) as (y_pred, n)".format(
