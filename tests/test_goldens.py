@@ -113,3 +113,22 @@ def test_zero_division_and_label_union(spark):
     preds2 = spark.createDataFrame([(0, 0), (0, 3)], "y_true int, y_pred int")
     cells = {(r["y_true"], r["y_pred"]): r["n"] for r in V.confusion_long(preds2).collect()}
     assert cells[(3, 0)] == 0 and cells[(3, 3)] == 0 and len(cells) == 4
+
+
+def test_matrix_files_in_published_layout(spark):
+    """S11 + A9 on files written in the published layout (headerless, %.18e floats, one file per run)."""
+    import os
+    import tempfile
+
+    from lexis.sources.stored import read_conf_matrices
+    d = tempfile.mkdtemp(prefix="lexis-golden-files-", dir="/tmp")
+    for m, (mat, _, _) in GOLDEN.items():
+        with open(os.path.join(d, f"{m}-conf_mat.csv"), "w") as f:
+            for row in mat:
+                f.write(",".join("%.18e" % v for v in row) + "\n")
+    conf = read_conf_matrices(spark, d, len(CLASSES))
+    got = {r["model_name"]: (r["accuracy"], r["f1"]) for r in V.accuracy_f1(conf, ["model_name"]).collect()}
+    assert got == {m: (acc, f1) for m, (_, acc, f1) in GOLDEN.items()}
+    xgb = conf.filter(F.col("model_name").startswith("xgb-")).withColumn("model", F.lit("xgb"))
+    roll = {(r["y_true"], r["y_pred"]): r["n"] for r in V.confusion_rollup(xgb, ["model"]).collect()}
+    assert roll[(1, 1)] == XGB_ROLLUP[1][1] and sum(roll.values()) == 2816
