@@ -220,3 +220,13 @@ def test_salted_vector_join_equals_broadcast(spark):
     salted = E.doc_vectors_mean(docs, vecs, 2, broadcast_bytes=0, salts=4, hot_sample_frac=1.0)
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
     assert {r["doc_id"]: (r["n_known"], r["vec"]) for r in salted.collect()} == small
+
+
+def test_lowest_k_at_two_million_rows(spark):
+    """Histogram threshold selects exactly the rows of a full sort, with many occupied buckets."""
+    df = spark.range(2_000_000).select(F.col("id").alias("doc_id")).withColumn("k", seeded_key("s", "doc_id"))
+    k = 150_000
+    got = lowest_k(df, "k", k)
+    want = df.orderBy("k").limit(k)
+    assert got.count() == k
+    assert got.select("doc_id").exceptAll(want.select("doc_id")).count() == 0
