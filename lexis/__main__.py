@@ -3,7 +3,7 @@
     python -m lexis prepare --corpus /data/documents.parquet --base /shared/run1 \\
         [--text-col text --label-col lang --frac 0.075 --target en --factor 4 \\
          --vectors glove=/data/glove.txt fasttext=/data/wiki.vec word2vec=/data/w2v.parquet custom=/models/w2v]
-    python -m lexis train --base /shared/run1 --model svm|xgb|logistic --embeddings glove fasttext
+    python -m lexis train --base /shared/run1 --model svm|svm_rbf|xgb|logistic --embeddings glove fasttext
     python -m lexis analyse --base /shared/run1 --model xgb
 
 Paths must be on storage every executor sees.  The session is the one
@@ -34,12 +34,14 @@ def _estimator(model: str):
         return T.svm_grid
     if model == "xgb":
         return T.gbt_grid
+    if model == "svm_rbf":
+        return T.svm_rbf_grid
     if model == "logistic":
         def logistic():
             lr = T.logistic_estimator()
             return lr, ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).build()
         return logistic
-    raise SystemExit(f"unknown model {model!r} (svm, xgb, logistic)")
+    raise SystemExit(f"unknown model {model!r} (svm, svm_rbf, xgb, logistic)")
 
 
 def cmd_prepare(spark: SparkSession, a) -> None:

@@ -230,3 +230,23 @@ def test_lowest_k_at_two_million_rows(spark):
     want = df.orderBy("k").limit(k)
     assert got.count() == k
     assert got.select("doc_id").exceptAll(want.select("doc_id")).count() == 0
+
+
+def test_rff_pipeline_stage_grid_and_persistence(spark):
+    import tempfile
+
+    from pyspark.ml import PipelineModel
+
+    from lexis.operators.train import grid_search, svm_rbf_grid, with_features, with_folds
+    rows = [(i, float(i % 2), [float((i * 7) % 5) - 2.0 + (i % 2) * 3.0, float((i * 3) % 7) - 3.0])
+            for i in range(120)]
+    df = with_folds(with_features(spark.createDataFrame(rows, "id long, label double, v array<double>"), "v"), "id")
+    pipe, grid = svm_rbf_grid(gammas=(0.5, 2.0), reg_params=(0.01,), n_components=64, max_iter=10)
+    cv = grid_search(pipe, grid, df, parallelism=2)
+    assert len(cv.avgMetrics) == 2 and max(cv.avgMetrics) > 0.7
+    path = tempfile.mkdtemp(prefix="lexis-rff-model-", dir="/tmp") + "/m"
+    cv.bestModel.write().overwrite().save(path)
+    again = PipelineModel.load(path)
+    a = [r["prediction"] for r in cv.bestModel.transform(df).orderBy("id").collect()]
+    b = [r["prediction"] for r in again.transform(df).orderBy("id").collect()]
+    assert a == b
