@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 def _session(master: str | None) -> SparkSession:
     builder = SparkSession.builder.appName("lexis")
-    if master:
-        builder = builder.master(master)
+    if master:  # local run: no web UI server
+        builder = builder.master(master).config("spark.ui.enabled", "false")
     return builder.getOrCreate()
 
 
