@@ -68,9 +68,10 @@ def word_class_counts(tokens: DataFrame, class_col: str, classes: list[str],
     ``classes`` are the pivot values, passed explicitly (no distinct job, fixed
     column order); classes without a word get 0.
     """
-    words = explode_words(tokens, [doc_col, class_col], tokens_col)
     if unique_only:
-        words = words.select(doc_col, class_col, "word").distinct()
+        # a document's tokens live in one row: de-duplicate there (no shuffle)
+        tokens = tokens.withColumn(tokens_col, F.array_distinct(tokens_col))
+    words = explode_words(tokens, [doc_col, class_col], tokens_col)
     # one hash aggregate with a conditional count per class (Spark's pivot would
     # plan a second aggregation to re-shape (word, class) rows)
     per_class = [F.count(F.when(F.col(class_col) == F.lit(c), 1)).alias(c) for c in classes]
@@ -88,9 +89,9 @@ def word_distribution_for_classes(tokens: DataFrame, class_col: str, classes: li
     One aggregation over all words (so the whole vocabulary is present) whose
     class counts only see the selected classes - no second pass, no join.
     """
-    words = explode_words(tokens, ["doc_id", class_col], tokens_col)
     if unique_only:
-        words = words.select("doc_id", class_col, "word").distinct()
+        tokens = tokens.withColumn(tokens_col, F.array_distinct(tokens_col))
+    words = explode_words(tokens, ["doc_id", class_col], tokens_col)
     chosen = set(selected) if selected else set(classes)
     per_class = [(F.count(F.when(F.col(class_col) == F.lit(c), 1)) if c in chosen
                   else F.lit(0).cast("long")).alias(c) for c in classes]

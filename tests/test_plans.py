@@ -47,3 +47,9 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_vocabulary_is_a_bounded_top_n(spark):
     plan = _plan(QUERIES["vocabulary_index"](spark, SF))
     assert "TakeOrderedAndProject(limit=9999" in plan
+
+
+def test_document_frequency_needs_no_dedup_shuffle(spark):
+    plan = _plan(QUERIES["word_distribution_df"](spark, SF))
+    assert plan.count("hashpartitioning(word") == 1
+    assert "array_distinct" in plan
