@@ -250,3 +250,14 @@ def test_rff_pipeline_stage_grid_and_persistence(spark):
     a = [r["prediction"] for r in cv.bestModel.transform(df).orderBy("id").collect()]
     b = [r["prediction"] for r in again.transform(df).orderBy("id").collect()]
     assert a == b
+
+
+def test_sampling_operators_on_empty_and_absent_inputs(spark):
+    empty = spark.createDataFrame([], "doc_id long, label string")
+    assert exact_sample(empty, 0.5).count() == 0
+    assert P.train_test_split(empty, 0.1).count() == 0
+    df = spark.createDataFrame([(i, "o") for i in range(7)], "doc_id long, label string")
+    assert P.undersample(df, "absent", 4).count() == 7          # no target rows: unchanged
+    assert exact_sample(df, 0.0).count() == 0
+    assert exact_sample(df, 1.0).count() == 7
+    assert P.train_test_split(df, 1.0).filter("split = 'test'").count() == 7
