@@ -93,11 +93,11 @@ def length_cumulative_share(df: DataFrame, len_col: str = "n_words",
     Both are reported, named apart.
     """
     counts = df.groupBy(F.col(len_col).alias("len")).agg(F.count(F.lit(1)).alias("n"))
+    # the first max(ks) distinct lengths, once (a bounded top-n): the k-th of each k comes from it
+    first = [r["len"] for r in counts.select("len").orderBy("len").limit(max(ks)).collect()]
     parts = []
     for k in ks:
-        # k-th smallest distinct length: top-k over the (bounded) distinct lengths
-        kth = counts.select("len").orderBy("len").limit(k).agg(F.max("len").alias("l")).collect()[0]["l"]
-        kth = -1 if kth is None else int(kth)
+        kth = int(first[min(k, len(first)) - 1]) if first else -1
         parts.append(counts.agg(
             F.lit(k).cast("int").alias("k"),
             (F.sum(F.when(F.col("len") <= F.lit(kth), F.col("n")).otherwise(0))
