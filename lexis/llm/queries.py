@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.llm import bpe, decontam, langid, quality, suffix
+from lexis.llm import bpe, decontam, langid, ngram_join, quality, suffix
 from lexis.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op6_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ngram_join.join_groups(read(spark, sf_dir, "documents"), n=3, threshold=90)
+    return groups.select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id")
