@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.llm import bpe, decontam, langid, ngram_join, quality, suffix
+from lexis.llm import bpe, decontam, langid, lines, ngram_join, quality, suffix
 from lexis.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,13 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@query("op1_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.deduplicated(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_judged", "n_exact", "n_near", "only_copies",
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op2_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
