@@ -1,11 +1,77 @@
 """Corpus pipeline: language ID, line dedup, near-duplicate documents, decontamination, token ids.
 
-Placeholder stages are filled in as the operators land.
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its
+predecessor kept; its result is written as Parquet and reread as the next
+stage's ``docs``.  All but the last return the columns of ``docs`` unchanged in
+name and order (``text`` and ``n_chars`` change where lines go).
+
+Rows are matched by ``doc_id``, which names a document; rows with null
+``doc_id`` cannot be judged by the joins and leave with line dedup.  Null and
+empty texts have no letter, so language ID rejects them.  Empty tables give
+empty results.
 """
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexis.llm import bpe, decontam, langid, lines, ngram_join
+from lexis.llm.common import read, written
+from lexis.llm.queries import rank_file
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; those without letters or with a narrow margin go."""
+    learned = langid.learn(docs.filter(~langid.held_out()))
+    judged = langid.identify(docs, learned)
+    return _only(docs, judged.filter("NOT rejected"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; documents whose every judged line is a repeat go whole."""
+    left = lines.deduplicated(docs).filter("NOT only_copies").select("doc_id", F.col("text").alias("_left")).dropDuplicates(["doc_id"])
+    cut = docs.join(left, "doc_id")
+    new = {"text": F.col("_left").alias("text"), "n_chars": F.length("_left").cast("long").alias("n_chars")}
+    return cut.select(*[new.get(c, F.col(c)) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of smallest key, stays of each group of linked documents (five-word shingles, 0.8)."""
+    groups = ngram_join.join_groups(docs, n=5, threshold=80)
+    return _only(docs, groups.filter("doc_id = component_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))
+    return _only(docs, found.filter(F.size("hit_spans") == 0))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every remaining document, checked to decode to the text's bytes."""
+    return bpe.round_trip_digests(docs, rank_file())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("token_ids", token_ids),
+]
+
+#: Compression sizes cannot be expressed in SQL; tests check every stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.llm import bpe, decontam, langid, lines, ngram_join, quality, suffix
+from lexis.llm import bpe, decontam, langid, licenses, lines, lm, ngram_join, pii, quality, suffix
 from lexis.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,12 +55,36 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), rank_file())
 
 
+@query("op4_cross_entropy_difference")
+def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the texts labelled good and not toxic."""
+    target = read(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    scored = lm.cross_entropy_difference(read(spark, sf_dir, "documents"), target)
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
+
+
 @query("op5_quality_divergence")
 def quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query("op7_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+@query("op8_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per text: paragraphs, licence paragraphs, unknown ones, families and the highest probability."""
+    found = licenses.license_scan(read(spark, sf_dir, "documents"))
+    families = F.transform("paragraphs", lambda p: p["family"])
+    return found.select("doc_id", "n_paragraphs", F.size("paragraphs").cast("long").alias("n_license"),
+                        F.size(F.filter(families, lambda f: f == licenses.UNKNOWN)).cast("long").alias("n_unknown"),
+                        F.array_join(F.array_sort(F.array_distinct(F.filter(families, lambda f: f != licenses.UNKNOWN))), ",").alias("families"),
+                        F.round(F.array_max(F.transform("paragraphs", lambda p: p["probability"])), 4).alias("probability"))
+
+
 @query("op9_benchmark_decontamination")
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
