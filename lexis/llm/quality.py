@@ -85,7 +85,7 @@ def histograms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     named = [F.col(f"n_{name}") for name in CHAR_CLASSES]
     counts = [F.size("hits") - F.size(F.array_remove("hits", w)) for w in COMMON_WORDS]
     return rows.select(
-        "doc_id", "label", "n_words", (F.col("n_chars") - F.col("n_blank")).alias("word_chars"), F.col("n_symbol").alias("n_symbols"),
+        "doc_id", "label", "n_chars", "n_words", (F.col("n_chars") - F.col("n_blank")).alias("word_chars"), F.col("n_symbol").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("places") > 0, _covered(F.col("places"), 3)).otherwise(0).cast("long").alias("n_repeat_words"),
         F.array(F.col("n_chars") - sum(named[1:], named[0]), *named).cast("array<double>").alias("classes"),
@@ -102,20 +102,17 @@ def references(hist: DataFrame) -> list[tuple[str, list[float], list[float]]]:
             for r in sorted(rows, key=lambda r: r["label"])]
 
 
-def js_distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance of a count array to a fixed one (1 when either is empty)."""
+def js_distance(shares: Column, reference: list[float]) -> Column:
+    """Jensen-Shannon distance of a column of shares to a count list (1 when either is empty)."""
     whole = sum(reference)
     if not whole:
         return F.lit(1.0)
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
 
-    def part(x: Column, q: Column) -> Column:
-        p = x / total
-        m = (p + q) / 2
-        return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
+    def part(p: Column, q: Column) -> Column:
+        return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0)
 
-    parts = F.zip_with(counts, F.array(*[F.lit(x / whole) for x in reference]), part)
-    return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))).otherwise(1.0)
+    parts = F.zip_with(shares, F.array(*[F.lit(x / whole) for x in reference]), part)
+    return F.coalesce(F.sqrt(F.greatest(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))), F.lit(1.0))
 
 
 def judge(hist: DataFrame, refs: list[tuple[str, list[float], list[float]]], min_words: int = MIN_WORDS,
@@ -125,11 +122,15 @@ def judge(hist: DataFrame, refs: list[tuple[str, list[float], list[float]]], min
     The best label is the one of smallest distance sum (first label on ties).
     """
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    pairs = [F.struct((js_distance(F.col("classes"), c) + js_distance(F.col("common"), w)).alias("total"), F.lit(i).alias("i"),
-                      js_distance(F.col("classes"), c).alias("class_distance"), js_distance(F.col("common"), w).alias("word_distance"))
-             for i, (_, c, w) in enumerate(refs)]
-    best = F.array_min(F.array(*pairs)) if pairs else F.lit(None).cast("struct<total:double,i:int,class_distance:double,word_distance:double>")
-    rows = hist.select("*", base_failed.alias("base_failed"), best.alias("best"))
+    # Totals are plain columns and each step is used as one, so no sum or
+    # distance is worked out again inside a lambda or for a second use.
+    share = lambda name, total: F.when(F.col(total) > 0, F.transform(name, lambda x: x / F.col(total)))
+    rows = hist.select("*", base_failed.alias("base_failed"), share("classes", "n_chars").alias("p_class"), share("common", "n_words").alias("p_word"))
+    pairs = [F.struct(js_distance(F.col("p_class"), c).alias("class_distance"), js_distance(F.col("p_word"), w).alias("word_distance")) for _, c, w in refs]
+    kind = "array<struct<class_distance:double,word_distance:double>>"
+    rows = rows.select("*", (F.array(*pairs) if pairs else F.array()).cast(kind).alias("distances"))
+    ranked = F.transform("distances", lambda d, i: F.struct((d["class_distance"] + d["word_distance"]).alias("total"), i.alias("i"), d["class_distance"].alias("class_distance"), d["word_distance"].alias("word_distance")))
+    rows = rows.select("*", F.array_min(ranked).alias("best"))
     bound = lambda b: F.lit(b[0]) + F.lit(b[1]) / F.sqrt("n_words")
     fits = (F.col("best.class_distance") <= bound(class_bound)) & (F.col("best.word_distance") <= bound(word_bound))
     return rows.select("*", F.col("best.class_distance"), F.col("best.word_distance"),
