@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from lexis.functions.arrays import hex_int, seeded_key, unit_interval
 from lexis.functions.text import join_tokens
 
-# first-appearance order key: doc_id * 2**20 + position (positions must stay below 2**20)
-POS_BITS = 20
-MAX_POS = 1 << POS_BITS
+# first-appearance order key: doc_id * 2**31 + position, as a decimal (array positions stay below 2**31)
+POS_RANGE = 1 << 31
 
 
 def explode_words(df: DataFrame, keep: list[str], tokens_col: str = "tokens",
@@ -43,10 +42,9 @@ def explode_tokens(df: DataFrame, keep: list[str], tokens_col: str = "tokens") -
 
 
 def first_seen_key(doc_col: str = "doc_id", pos_col: str = "pos"):
-    """Single bigint ordering key (doc order, then position) - keeps aggregates on HashAggregate."""
-    pos = F.col(pos_col).cast("long")
-    guarded = F.when(pos < MAX_POS, pos).otherwise(F.raise_error(F.lit("token position >= 2^20")))
-    return F.col(doc_col).cast("long") * F.lit(MAX_POS) + guarded
+    """Single decimal ordering key (doc order, then position) for every bigint key - keeps aggregates on HashAggregate."""
+    return (F.col(doc_col).cast("decimal(20,0)") * F.lit(POS_RANGE).cast("decimal(10,0)")
+            + F.col(pos_col).cast("decimal(10,0)"))
 
 
 def vocabulary(tokens: DataFrame, tokens_col: str = "tokens") -> DataFrame:

@@ -4,29 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# input partition counts already probed in this driver, by logical-plan hash
-_PARTITIONS: dict[int, int] = {}
+# A scan task beyond this share of the input's bytes is worth a shuffle of the text.
+WIDE_ENOUGH_BYTES = 64 << 20
 
 
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Spread an under-partitioned input over the cluster; leave a wide one alone.
+    """Spread a small input that sits in few scan tasks; leave every other input alone.
 
-    A corpus stored as one large Parquet row group is scanned by one task, so
+    A corpus stored as one Parquet row group is scanned by one task, so
     everything up to the first shuffle (regex tokenizing, explode, partial
-    aggregation) would run on one core.  When the scan has fewer partitions
-    than the cluster's default parallelism, hash-partition it by ``key``
+    aggregation) would run on one core.  Only an input whose planned size
+    could fill fewer than ``min_partitions`` (default: the cluster's
+    parallelism) tasks of ``WIDE_ENOUGH_BYTES`` is hash-partitioned by ``key``
     (rows stay grouped by document, so later per-document aggregations can
-    reuse the partitioning).  A scan that is already wide - the normal case
-    for a large table - is returned unchanged: no extra shuffle of the text.
+    reuse the partitioning).  A large input is read in wide splits anyway and
+    is never shuffled for this.  The decision uses the plan's size estimate: no
+    job, no memory of earlier calls.
     """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        h = df.semanticHash()
-        if h not in _PARTITIONS:  # planning the scan costs ~0.4 s; the layout is fixed per input
-            _PARTITIONS[h] = df.rdd.getNumPartitions()
-        current = _PARTITIONS[h]
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan alone
-        return df
-    if current >= target:
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= target * WIDE_ENOUGH_BYTES:
         return df
     return df.repartition(target, key) if key else df.repartition(target)

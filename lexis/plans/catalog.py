@@ -251,7 +251,7 @@ def q_synonym_augment(spark, sf):
 VOCAB_SQL = """
 sp AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42s-' || doc_id))
                       <= (SELECT ceil(0.1::DOUBLE * count(*)) FROM corpus) AS is_test FROM corpus),
-vc AS (SELECT w.word, count(*) AS n, min(w.doc_id * 1048576 + w.pos) AS fs
+vc AS (SELECT w.word, count(*) AS n, min(w.doc_id::HUGEINT * 2147483648 + w.pos) AS fs
        FROM words w JOIN sp USING (doc_id) WHERE NOT sp.is_test GROUP BY w.word),
 vocab AS (SELECT (row_number() OVER (ORDER BY n DESC, fs))::INTEGER AS idx, word, n FROM vc
           QUALIFY row_number() OVER (ORDER BY n DESC, fs) <= 9999)"""
@@ -559,7 +559,7 @@ def q_misclassified_sample(spark, sf):
 
 
 TOPWORDS_SQL = """
-wc AS (SELECT p.y_pred, p.y_true, w.word, count(*) AS n, min(w.doc_id * 1048576 + w.pos) AS fs
+wc AS (SELECT p.y_pred, p.y_true, w.word, count(*) AS n, min(w.doc_id::HUGEINT * 2147483648 + w.pos) AS fs
        FROM words w JOIN pr p USING (doc_id) GROUP BY ALL),
 top AS (SELECT y_pred, y_true, (row_number() OVER (PARTITION BY y_pred, y_true ORDER BY n DESC, fs))::INTEGER AS rank,
                word, n FROM wc

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ def build_session(master: str | None = None, app: str = "lexis",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("LEXIS_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()
@@ -36,16 +37,18 @@ def build_session(master: str | None = None, app: str = "lexis",
     return spark
 
 
-def recommended_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+def recommended_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20,
+                     shuffled_share: float = 0.25) -> dict[str, str]:
     """Settings sized for a job over ``input_bytes`` on ``total_cores`` executor cores.
 
     Scan splits of ``partition_bytes`` (128-256 MB fit executor memory with
-    room for the text->token expansion); shuffle partitions sized so each
-    holds about ``partition_bytes`` of the (roughly input-sized) token
-    shuffle, at least 2 waves of tasks; AQE coalesces small ones and splits
-    skewed ones at run time.
+    room for the text->token expansion).  Shuffle partitions follow the bytes
+    a stage *shuffles* (``shuffled_share`` of the input; word tables are
+    combined map-side), at twice the split size and at least 2 waves of tasks:
+    map tasks x shuffle partitions blocks are made per exchange, so the number
+    starts low and AQE splits what is skewed.
     """
-    shuffle = max(2 * total_cores, input_bytes // partition_bytes)
+    shuffle = max(2 * total_cores, int(input_bytes * shuffled_share) // (2 * partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(int(shuffle)),
@@ -61,11 +64,14 @@ def recommended_conf(input_bytes: int, total_cores: int, partition_bytes: int =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (local tests)
-    a fresh scratch folder is created and registered.
+    The cluster's setting always wins.  Only when it is unset on a local
+    master (tests) a fresh scratch folder is created and registered; on any
+    other master executors could not read such a folder, so this raises.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lexis-ckpt-", dir="/tmp")
         spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.sources.stored import PARAMS_SCHEMA, RESULTS_SCHEMA, committed_versions
+from lexis.operators.evaluate import upsert_by_key
+from lexis.sources.stored import PARAMS_SCHEMA, RESULTS_SCHEMA, committed_versions, listed_versions
 
 
 def write_split(df: DataFrame, path: str, overwrite: bool) -> None:
@@ -32,35 +33,33 @@ def write_doc_vectors(df: DataFrame, path: str, emb_name: str) -> None:
      .partitionBy("emb_name", "split").parquet(path))
 
 
+def _write_next(df: DataFrame, path: str) -> int:
+    """Write ``df`` as a version number that no folder has yet; nothing existing is touched."""
+    version = max(listed_versions(df.sparkSession, path), default=-1) + 1
+    df.write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return version
+
+
 def upsert_versioned(new: DataFrame, path: str, key: str = "model_name") -> int:
-    """Keyed upsert as a new snapshot ``version=<n+1>``.
+    """Keyed upsert (``upsert_by_key``) as a new snapshot ``version=<n+1>``.
 
-    Old rows whose key appears in ``new`` are dropped (left anti join), the
-    new rows appended, and the result written as the next version; readers
-    take the highest *committed* version (``read_versioned``).  The previous
-    snapshot is never touched, so a failed write cannot damage it.  Returns the
-    new version.
+    Readers take the highest *committed* version (``read_versioned``); a write
+    that died leaves an uncommitted folder whose number is never used again.
+    Returns the new version.
     """
     spark = new.sparkSession
     versions = committed_versions(spark, path)
-    if not versions:
-        merged, nxt = new, 0
-    else:
-        old = spark.read.parquet(f"{path}/version={versions[0]}")
-        merged, nxt = old.join(new.select(key).distinct(), key, "left_anti").unionByName(new), versions[0] + 1
-    # each snapshot is its own directory with its own _SUCCESS marker; a write
-    # that died before committing is ignored by readers and overwritten here
-    merged.write.mode("overwrite").parquet(f"{path}/version={nxt}")
-    return nxt
+    merged = upsert_by_key(spark.read.schema(new.schema).parquet(f"{path}/version={versions[0]}"), new, key) if versions else new
+    return _write_next(merged, path)
 
 
 def create_results_tables(spark: SparkSession, base: str, overwrite_results: bool,
                           overwrite_params: bool) -> None:
-    """K3: empty results / best-parameter tables when the flags are set."""
+    """K3: empty the results / best-parameter tables when the flags are set (an empty next version)."""
     if overwrite_results:
-        spark.createDataFrame([], RESULTS_SCHEMA).write.mode("overwrite").parquet(f"{base}/results/version=0")
+        _write_next(spark.createDataFrame([], RESULTS_SCHEMA), f"{base}/results")
     if overwrite_params:
-        spark.createDataFrame([], PARAMS_SCHEMA).write.mode("overwrite").parquet(f"{base}/best_params/version=0")
+        _write_next(spark.createDataFrame([], PARAMS_SCHEMA), f"{base}/best_params")
 
 
 def report_file_layout(report: DataFrame) -> DataFrame:

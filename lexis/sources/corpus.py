@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Strings pandas' CSV reader turns into missing values by default.
 NA_STRINGS = [
@@ -12,41 +11,36 @@ NA_STRINGS = [
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-CORPUS_CSV_SCHEMA = T.StructType([
-    T.StructField("product", T.StringType()),
-    T.StructField("narrative", T.StringType()),
-])
-
-
-# input tables are immutable for a session: list files and read footers once
-_TABLES: dict[tuple[int, str], DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table: ``<sf_dir>/<name>.parquet`` (read once per session, then reused)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    """One driver table: ``<sf_dir>/<name>.parquet``."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def read_corpus_csv(spark: SparkSession, path: str, schema: T.StructType = CORPUS_CSV_SCHEMA,
+def read_corpus_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None,
                     id_col: str = "doc_id") -> DataFrame:
-    """Headered CSV with quoted multi-line text and an explicit schema.
+    """Headered CSV with quoted multi-line text, columns taken **by header name**.
+
+    ``columns`` maps the result's names to header names (default ``product``
+    and ``narrative``); extra columns and any order are fine, a missing one
+    raises.  All values are read as text.  pandas' default missing-value
+    strings become nulls so that P2 drops the same rows.
 
-    pandas' default missing-value strings become nulls so that P2 drops the
-    same rows.  A CSV row has no key, so ``doc_id`` is assigned here; write
-    the result to Parquet (see ``lexis.sinks``) before sampling so the key is
-    frozen for every later stage.
+    A CSV row has no key.  ``doc_id`` is made from the file name and the
+    row's content and rank among equal rows of the file, so it does not depend
+    on how the files are split; equal rows get different keys.
     """
-    df = (spark.read.option("header", True).option("multiLine", True)
-          .option("escape", '"').option("mode", "PERMISSIVE")
-          .schema(schema).csv(path))
-    string_cols = [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
-    for c in string_cols:
-        df = df.withColumn(c, F.when(F.col(c).isin(NA_STRINGS), F.lit(None)).otherwise(F.col(c)))
-    return df.withColumn(id_col, F.monotonically_increasing_id())
+    columns = columns or {"product": "product", "narrative": "narrative"}
+    raw = (spark.read.option("header", True).option("multiLine", True).option("inferSchema", False)
+           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    missing = [c for c in columns.values() if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {missing}")
+    cell = lambda c: F.when(F.col(f"`{c}`").isin(NA_STRINGS), F.lit(None)).otherwise(F.col(f"`{c}`"))
+    df = raw.select(F.col("_metadata.file_name").alias("_file"), F.xxhash64(F.col("_metadata.file_name"), *[F.col(f"`{c}`") for c in raw.columns]).alias("_row"),
+                    *[cell(c).alias(name) for name, c in columns.items()])
+    # equal rows of one file are ranked: the window's groups are sets of equal rows
+    again = F.row_number().over(Window.partitionBy("_file", "_row").orderBy("_row"))
+    return df.withColumn(id_col, F.xxhash64("_file", "_row", again).bitwiseAND((1 << 62) - 1)).drop("_file", "_row")
 
 
 def load_corpus(spark: SparkSession, sf_dir: str, text_col: str = "text",

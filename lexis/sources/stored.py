@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,20 +43,29 @@ def read_doc_vectors(spark: SparkSession, path: str, emb_name: str, split: str |
     return df if split is None else df.filter(F.col("split") == split)
 
 
+def listed_versions(spark: SparkSession, path: str) -> dict[int, bool]:
+    """``{version: committed?}`` of the ``version=<n>`` folders under ``path``.
+
+    Lists the folder through the cluster's file system.  Only a folder that
+    does not exist counts as empty; every other error is raised, so a table
+    that cannot be read is never taken for a new one.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    found = {}
+    for entry in fs.listStatus(root):
+        name = entry.getPath().getName()
+        if entry.isDirectory() and re.fullmatch(r"version=\d+", name):
+            found[int(name.split("=")[1])] = fs.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS"))
+    return found
+
+
 def committed_versions(spark: SparkSession, path: str) -> list[int]:
     """Snapshot versions under ``path`` whose write committed (``_SUCCESS`` present), newest first."""
-    try:
-        found = [r[0] for r in spark.read.parquet(path).select("version").distinct().collect()]
-    except Exception:  # noqa: BLE001 - no table yet
-        return []
-    done = []
-    for v in sorted(found, reverse=True):
-        try:
-            spark.read.format("text").load(f"{path}/version={v}/_SUCCESS")
-            done.append(v)
-        except Exception:  # noqa: BLE001 - snapshot whose job never committed
-            continue
-    return done
+    return sorted((v for v, done in listed_versions(spark, path).items() if done), reverse=True)
 
 
 def read_versioned(spark: SparkSession, path: str) -> DataFrame:
@@ -70,11 +81,6 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return read_versioned(spark, path)
 
 
-def read_results_csv(spark: SparkSession, path: str, schema: T.StructType = RESULTS_SCHEMA) -> DataFrame:
-    """S9 for CSV files in the reference's layout."""
-    return spark.read.option("header", True).schema(schema).csv(path)
-
-
 def read_reports(spark: SparkSession, base: str, pattern: str = "*-results.csv") -> DataFrame:
     """Every report file under ``base`` in one scan, with ``model_name`` from the file name.
 
@@ -118,11 +124,6 @@ def read_conf_matrices(spark: SparkSession, base: str, k: int, pattern: str = "*
         "model_name", "y_true", F.col("y_pred").cast("int").alias("y_pred"), F.col("n").cast("long").alias("n"))
 
 
-def read_conf_long(spark: SparkSession, path: str) -> DataFrame:
-    """Long confusion tables written next to the dense files (row order is explicit)."""
-    return spark.read.parquet(path)
-
-
 def load_model(path: str, spark: SparkSession | None = None):
     """Any saved Spark ML model (pipeline, cross-validation, classifier, word2vec).
 

@@ -86,7 +86,7 @@ def test_corpus_csv_reader_nulls_and_multiline(spark):
     with open(p, "w", encoding="utf8") as f:
         f.write('product,narrative\nbank,"line one\nline two, with comma and ""quote"""\nNA,text\ncard,\n')
     df = read_corpus_csv(spark, p)
-    rows = df.orderBy("doc_id").collect()
+    rows = df.orderBy(F.desc(F.length("narrative"))).collect()  # keys follow content, not file order
     assert len(rows) == 3
     assert rows[0]["narrative"] == 'line one\nline two, with comma and "quote"'
     assert rows[1]["product"] is None and rows[2]["narrative"] is None
@@ -106,10 +106,10 @@ def test_versioned_upsert_ignores_uncommitted_snapshot(spark):
     K.upsert_versioned(spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 2.0)], S.RESULTS_SCHEMA), p)
     K.upsert_versioned(spark.createDataFrame([("b", 9.0, 9.0)], S.RESULTS_SCHEMA), p)
     assert {r["model_name"]: r["accuracy"] for r in S.read_results(spark, p).collect()} == {"a": 1.0, "b": 9.0}
-    # a snapshot whose job never committed (no _SUCCESS) is invisible and gets replaced
+    # a snapshot whose job never committed (no _SUCCESS) is invisible and its number is not used again
     spark.createDataFrame([("zzz", 0.0, 0.0)], S.RESULTS_SCHEMA).write.parquet(f"{p}/version=2")
     os.remove(f"{p}/version=2/_SUCCESS")
     assert S.committed_versions(spark, p) == [1, 0]
     assert "zzz" not in {r["model_name"] for r in S.read_results(spark, p).collect()}
-    assert K.upsert_versioned(spark.createDataFrame([("c", 3.0, 3.0)], S.RESULTS_SCHEMA), p) == 2
+    assert K.upsert_versioned(spark.createDataFrame([("c", 3.0, 3.0)], S.RESULTS_SCHEMA), p) == 3
     assert {r["model_name"] for r in S.read_results(spark, p).collect()} == {"a", "b", "c"}

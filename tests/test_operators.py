@@ -196,10 +196,10 @@ def test_small_helpers(spark):
         .executedPlan().toString()
     one = spark.range(1000).coalesce(1)
     assert spread(one, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, 1, spark.sparkContext.defaultParallelism * 2)
-    assert spread(wide, "id") is wide
+    large = spark.range(10**12)  # planned at 8 TB: never shuffled just to be spread
+    assert spread(large, "id") is large
     conf = recommended_conf(100 << 40, 8000)
-    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert int(conf["spark.sql.shuffle.partitions"]) == (25 << 40) // (512 << 20)
     toks = spark.createDataFrame([(0, ["b", "a"])], "doc_id long, tokens array<string>")
     assert sorted((r["word"], r["x"]) for r in X.empty_word_table(toks, ["x"]).collect()) == [("a", 0), ("b", 0)]
 
