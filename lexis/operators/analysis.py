@@ -145,7 +145,8 @@ def misclassified_sample(preds: DataFrame, tokens: DataFrame, seed: str = "42",
     mins = keyed.groupBy(pred_col, true_col).agg(F.min("_p").alias("_p"))
     tied = keyed.join(F.broadcast(mins), [pred_col, true_col, "_p"], "left_semi")
     pick = tied.groupBy(pred_col, true_col).agg(F.min_by(doc_col, "_k").alias(doc_col))
-    return (pick.join(tokens.select(doc_col, "tokens"), doc_col, "inner")
+    # at most k*k picked documents: broadcast onto the corpus, so only they are tokenized and nothing is shuffled
+    return (tokens.select(doc_col, "tokens").join(F.broadcast(pick), doc_col, "inner")
             .select(pred_col, true_col, doc_col, join_tokens("tokens").alias("text")))
 
 

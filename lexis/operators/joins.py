@@ -65,10 +65,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, salts: i
     """
     if not hot or salts <= 1:
         return left.join(right, key, how)
-    hot_arr = F.array(*[F.lit(h) for h in hot])
-    l_salt = F.when(F.array_contains(hot_arr, F.col(key)),
+    l_salt = F.when(F.col(key).isin(hot),
                     F.pmod(F.xxhash64(F.col(spread_col)), F.lit(salts))).otherwise(F.lit(0))
-    r_salts = F.when(F.array_contains(hot_arr, F.col(key)),
+    r_salts = F.when(F.col(key).isin(hot),
                      F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
                      ).otherwise(F.array(F.lit(0).cast("long")))
     l2 = left.withColumn("_salt", l_salt.cast("long"))

@@ -71,19 +71,20 @@ def tokenize(df: DataFrame, text_col: str = "text", out_col: str = "tokens") ->
 
 
 def undersample(df: DataFrame, target: str, factor: float = UNDERSAMPLE_FACTOR,
-                label_col: str = "label", seed: str = "42", id_col: str = "doc_id") -> DataFrame:
+                label_col: str = "label", seed: str = "42", id_col: str = "doc_id",
+                basis: DataFrame | None = None) -> DataFrame:
     """Keep ``ceil(n_target / factor)`` seeded-random rows of class ``target``.
 
     Other classes pass untouched.  The dominant class (a third or more of all
     rows) is never gathered into one window partition: the exact k-th key is
-    found from a bounded histogram and the selection is one filter.
+    found from a bounded histogram (over ``basis``, a narrow table with the
+    same keys and labels, where given) and the selection is one filter.
     """
-    keyed = df.withColumn("_ukey", seeded_key(seed, id_col))
+    key = seeded_key(seed, id_col)
     is_target = F.col(label_col).eqNullSafe(F.lit(target))
-    t = kth_smallest_key(keyed.filter(is_target), "_ukey",
-                         k_of_n=lambda n: F.ceil(n / F.lit(float(factor))))
-    keep = ~is_target if t is None else (~is_target | (F.col("_ukey") <= F.lit(t)))
-    return keyed.filter(keep).drop("_ukey")
+    keyed = (df if basis is None else basis).filter(is_target).withColumn("_ukey", key)
+    t = kth_smallest_key(keyed, "_ukey", k_of_n=lambda n: F.ceil(n / F.lit(float(factor))))
+    return df.filter(~is_target if t is None else (~is_target | (key <= F.lit(t))))
 
 
 def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -93,11 +94,13 @@ def class_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def train_test_split(df: DataFrame, test_size: float = TEST_SIZE, seed: str = "42",
-                     id_col: str = "doc_id") -> DataFrame:
-    """Unstratified seeded split; ``ceil(n * test_size)`` rows get ``split = 'test'``."""
-    keyed = df.withColumn("_skey", seeded_key(seed, id_col))
-    t = kth_smallest_key(keyed, "_skey", k_of_n=lambda n: F.ceil(n * F.lit(float(test_size))))
-    is_test = F.lit(False) if t is None else (F.col("_skey") <= F.lit(t))
-    return (keyed.withColumn("split", F.when(is_test, "test").otherwise("train"))
-            .drop("_skey"))
+                     id_col: str = "doc_id", basis: DataFrame | None = None) -> DataFrame:
+    """Unstratified seeded split; ``ceil(n * test_size)`` rows get ``split = 'test'``.
 
+    ``basis``: a narrow table with the same keys that the threshold is found on.
+    """
+    key = seeded_key(seed, id_col)
+    keyed = (df if basis is None else basis).withColumn("_skey", key)
+    t = kth_smallest_key(keyed, "_skey", k_of_n=lambda n: F.ceil(n * F.lit(float(test_size))))
+    is_test = F.lit(False) if t is None else (key <= F.lit(t))
+    return df.withColumn("split", F.when(is_test, "test").otherwise("train"))

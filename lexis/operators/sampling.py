@@ -68,13 +68,18 @@ def lowest_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.filter(F.col(key) <= F.lit(t))
 
 
-def exact_sample(df: DataFrame, frac: float, seed: int | str = 42, id_col: str = "doc_id") -> DataFrame:
-    """Exactly ``round(frac * n)`` rows (half to even), chosen by a seeded md5 order of ``id_col``."""
-    keyed = df.withColumn("_key", seeded_key(seed, id_col))
+def exact_sample(df: DataFrame, frac: float, seed: int | str = 42, id_col: str = "doc_id",
+                 basis: DataFrame | None = None) -> DataFrame:
+    """Exactly ``round(frac * n)`` rows (half to even), chosen by a seeded md5 order of ``id_col``.
+
+    ``basis``: a narrow table with the same keys (no text) that the threshold
+    is found on; ``df`` is then only filtered, never scanned for it.
+    """
+    keyed = (df if basis is None else basis).withColumn("_key", seeded_key(seed, id_col))
     t = kth_smallest_key(keyed, "_key", k_of_n=lambda n: F.bround(n * F.lit(float(frac)), 0))
     if t is None:
         return df.limit(0)
-    return keyed.filter(F.col("_key") <= F.lit(t)).drop("_key")
+    return df.filter(seeded_key(seed, id_col) <= F.lit(t))
 
 
 def approx_sample(df: DataFrame, frac: float, seed: int | str = 42,

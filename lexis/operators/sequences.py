@@ -81,6 +81,8 @@ def encoded_with_mask(tokens: DataFrame, vocab: DataFrame, length: int = ENCODE_
     vocabulary become the unknown id.
     """
     keep = list(keep or [])
-    ids = token_ids(tokens, vocab, tokens_col, doc_col, offset=WORD_ID_OFFSET, unknown_id=UNK_ID, keep=keep)
+    # every word becomes an id, so only the first words that fit can appear: cut before the generator
+    head = tokens.select(doc_col, *keep, F.slice(tokens_col, 1, max(length - 2, 1)).alias(tokens_col))
+    ids = token_ids(head, vocab, tokens_col, doc_col, offset=WORD_ID_OFFSET, unknown_id=UNK_ID, keep=keep)
     enc = encode_fixed("ids", length, START_ID, END_ID, PAD_ID)
     return ids.select(doc_col, *keep, enc.alias("enc")).select(doc_col, *keep, "enc.ids", "enc.mask")

@@ -520,27 +520,13 @@ def _params(results: DataFrame) -> DataFrame:
     return results.select("model_name", F.concat(F.lit("{'C': "), pick, F.lit(", 'kernel': 'rbf'}")).alias("params"))
 
 
-@register("results_upsert", sql(*EVAL_CTES, _rerun_sql(), body="""
-SELECT model_name, accuracy, f1 FROM results WHERE model_name NOT IN (SELECT model_name FROM results2)
-UNION ALL SELECT model_name, accuracy, f1 FROM results2"""))
-def q_results_upsert(spark, sf):
-    return V.upsert_by_key(_results(spark, sf), _results(spark, sf, fx.RERUNS))
-
-
-@register("params_upsert", sql(*EVAL_CTES, _rerun_sql(), body=f"""
-SELECT model_name, {PARAMS_EXPR_SQL} AS params FROM results
-WHERE model_name NOT IN (SELECT model_name FROM results2)
-UNION ALL SELECT model_name, {PARAMS_EXPR_SQL} AS params FROM results2"""))
-def q_params_upsert(spark, sf):
-    return V.upsert_by_key(_params(_results(spark, sf)), _params(_results(spark, sf, fx.RERUNS)))
-
-
 # =============================================================== errors
 RUN_PREDS_SQL = f"pr AS (SELECT doc_id, y_true, y_pred FROM preds WHERE model_name = '{fx.ANALYSED_RUN}')"
 
 
 def _run_preds(spark, sf) -> DataFrame:
-    return fx.predictions(spark, sf).filter(F.col("model_name") == fx.ANALYSED_RUN).drop("model_name")
+    run = [r for r in fx.RUNS if r[0] == fx.ANALYSED_RUN]  # only this run is generated
+    return fx.predictions(spark, sf, run).drop("model_name")
 
 
 def _decode_pair(df: DataFrame, names: DataFrame) -> DataFrame:

@@ -27,6 +27,13 @@ PARAMS_SCHEMA = T.StructType([
 ])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written (committed) at ``path``."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def read_split(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """The stored split table; ``split`` = 'train' / 'test' prunes partitions."""
     df = spark.read.parquet(path)

@@ -88,16 +88,24 @@ def word_class_counts_stream(docs: DataFrame, classes: list[str]) -> DataFrame:
     return words.groupBy("word").agg(*per_class, F.count(F.lit(1)).alias("total"))
 
 
-def stream_word_class_counts(spark: SparkSession, source: str, classes: list[str], query_name: str,
+def stream_word_class_counts(spark: SparkSession, source: str, classes: list[str], out_path: str,
                              checkpoint: str | None = None, available_now: bool = True):
-    """Maintain the word x class table in a queryable in-memory sink named ``query_name``.
+    """Maintain the word x class table as a keyed, versioned table at ``out_path``.
 
-    For a durable table, replace the memory sink by ``foreachBatch`` merging
-    each batch's updated rows into a keyed table (``lexis.sinks.upsert_versioned``).
+    Each micro-batch's updated rows are merged by ``word`` into the next
+    snapshot (``lexis.sinks.upsert_versioned``; read it with
+    ``lexis.sources.read_versioned``), on the executors; nothing is held on the
+    driver.  The rows are absolute counts, so a batch that is run again after a
+    failure gives the same table.
     """
+    from lexis.sinks.writers import upsert_versioned
+
     agg = word_class_counts_stream(read_document_stream(spark, source), classes)
-    writer = (agg.writeStream.format("memory").queryName(query_name).outputMode("complete")
-              .option("checkpointLocation", _checkpoint(spark, query_name, checkpoint,
-                                                        f"memory:{query_name}:{source}")))
+
+    def merge(batch: DataFrame, _: int) -> None:
+        upsert_versioned(batch, out_path, key="word")
+
+    writer = agg.writeStream.foreachBatch(merge).outputMode("update").option(
+        "checkpointLocation", _checkpoint(spark, "word-counts", checkpoint, out_path))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

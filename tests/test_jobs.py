@@ -60,7 +60,43 @@ def test_prepare_run_all_analyse_results(spark, base):
     assert out["by_model"].count() == 1
     assert out["class_metric_pivot"].count() == len(classes)
     roll = out["confusion_rollup"].agg(F.sum("n")).collect()[0][0]
-    assert roll == 2 * split.filter("split = 'test'").join(dv.filter("vec is not null"), "doc_id").count()
+    assert roll == 2 * split.filter("split = 'test'").count()  # every test document is scored
+    errors = jobs.analyse_results(spark, base, "svm", classes, ["glove"], run="svm-glove", pair=(classes[0], classes[1]))
+    assert {"misclassified_sample", "common_words", "word_distribution", "document_distribution", "pair_predictions",
+            "compare_classes", "class_metric_pivot_precision", "class_metric_pivot_recall"} <= set(errors)
+    assert errors["misclassified_sample"].count() >= 1
+
+
+def test_prepare_thresholds_from_the_key_table_and_stored_split(spark):
+    base = tempfile.mkdtemp(prefix="lexis-scan-", dir="/tmp")
+    source = f"{base}/corpus"
+    load_corpus(spark, SF_TINY).withColumn("extra", F.lit(1)).write.parquet(source)
+    corpus = spark.read.parquet(source)
+    paths = jobs.prepare(spark, corpus, base, {}, frac=0.5, target="en", seed="7")
+    split = S.read_split(spark, paths["split"])
+    # the same rows as sampling, undersampling and splitting the corpus itself
+    from lexis.operators import prep as P
+    from lexis.operators.sampling import exact_sample
+    sample = exact_sample(corpus.select("doc_id", "text", "label"), 0.5, seed="7")
+    want = P.train_test_split(P.undersample(sample, "en", 4, seed="7u"), 0.1, seed="7s")
+    assert {(r[0], r[1]) for r in split.select("doc_id", "split").collect()} == {(r[0], r[1]) for r in want.select("doc_id", "split").collect()}
+    before = sorted(r["doc_id"] for r in split.collect())
+    jobs.prepare(spark, spark.createDataFrame([], corpus.schema), base, {}, overwrite_split=False)
+    assert sorted(r["doc_id"] for r in S.read_split(spark, paths["split"]).collect()) == before
+    first = jobs.prepare(spark, corpus, f"{base}/b", {}, frac=1.0, target="en", split_first=True)
+    n = S.read_split(spark, first["split"]).filter("split = 'test'").count()
+    assert n == -(-corpus.count() // 10)
+
+
+def test_prepare_trains_and_saves_custom_vectors(spark, monkeypatch):
+    from lexis.operators import train as T
+    fit = T.train_word2vec
+    monkeypatch.setattr(T, "train_word2vec", lambda df: fit(df, vector_size=80, max_iter=1))
+    base = tempfile.mkdtemp(prefix="lexis-custom-", dir="/tmp")
+    paths = jobs.prepare(spark, load_corpus(spark, SF_TINY), base, {}, frac=1.0, custom_vectors=True)
+    vecs = S.read_doc_vectors(spark, paths["vectors"], "custom")
+    assert vecs.count() == S.read_split(spark, paths["split"]).count()
+    assert vecs.filter("size(vec) <> 80").count() == 0  # beyond the generated-code width
 
 
 def test_report_and_matrix_files_round_trip(spark, base):

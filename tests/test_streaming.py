@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexis.operators import analysis as X
 from lexis.plans import fixtures as fx
+from lexis.sources.stored import read_versioned
 from lexis.streaming.prepare import stream_prepare, stream_word_class_counts
 
 SF = "/root/testdata/sf0.001"
@@ -28,9 +29,10 @@ def test_stream_prepare_matches_batch_tokens(spark):
 def test_stream_word_counts_match_batch(spark):
     classes = fx.class_names(spark, SF)
     ckpt = tempfile.mkdtemp(prefix="lexis-stream-ckpt-", dir="/tmp")
-    q = stream_word_class_counts(spark, SOURCE, classes, "lexis_wc_test", checkpoint=ckpt)
+    out = f"{ckpt}-table"
+    q = stream_word_class_counts(spark, SOURCE, classes, out, checkpoint=ckpt)
     q.awaitTermination(120)
-    got = spark.table("lexis_wc_test")
+    got = read_versioned(spark, out)
     batch = X.word_class_counts(fx.tokens(spark, SF), "label", classes)
     assert got.count() == batch.count()
     assert got.select("word", *classes, "total").exceptAll(batch.select("word", *classes, "total")).count() == 0
