@@ -376,15 +376,16 @@ def repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     digest = docs.filter(F.octet_length("text") >= length).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("d"))
     firsts = digest.groupBy("d").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
     copies = digest.join(firsts, "d").filter("doc_id > first_id").select("doc_id").distinct().withColumn("whole", F.lit(True))
-    lone = placed.join(copies.select("doc_id"), "doc_id", "left_anti")
+    # a left join and a filter: an anti join would be moved below the exchange
+    marked = placed.join(copies, "doc_id", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    lone = marked.filter(~F.col("whole")).select("doc_id", "text")
     found = _anchor_rows(lone, length, gram)
     counted = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     places = found.join(counted, "h").groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("places"))
     cuts = _cut_rows(lone.join(places, "doc_id"), length, gram, hot)
     ranges = _sort_rows(cuts.repartition(n, "h").sortWithinPartitions("h"), length)
     per_text = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("first", "stop")).alias("ranges"))
-    return placed.join(copies, "doc_id", "left").join(per_text, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges")
+    return marked.join(per_text, "doc_id", "left").select("doc_id", "text", "whole", "ranges")
 
 
 def joined_ranges(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
