@@ -19,8 +19,9 @@ n-grams.  Two rows link when 100 * |A and B| >= threshold * |A or B|.
    separate rows of the block are returned, at most one fewer than its rows.
 4. Components of the links, then the smallest key of each.
 
-Within a map task, rows that meet at a hash are tied to one of them before
-anything is shuffled, so a hash met by a third of all rows sends one row a task.
+Within a map task, rows that meet are tied to one of them before anything is
+shuffled, and that one stands for all of them at every hash, so a hash met by a
+third of all rows sends one row a task and a group adds about one link a row.
 
 Defined cases: null and wordless texts have an empty set and link with
 nothing; a text of fewer words than ``n`` is one n-gram; rows with equal
@@ -133,6 +134,20 @@ def members(df: DataFrame, n: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, n_grams long, node long")
 
 
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest index of the component of each of ``n`` nodes under the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def meetings(df: DataFrame, n: int, threshold: int) -> DataFrame:
     """``sig, node, other``: block hashes of the sets; with ``other``, two sets that met within the task."""
     def run(batches):
@@ -146,17 +161,20 @@ def meetings(df: DataFrame, n: int, threshold: int) -> DataFrame:
                 sig, row = blocks.signatures(grams, begin)
                 sigs.append(sig)
                 nodes.append(node[row])
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            sig = np.concatenate(sigs)
+            names, node = np.unique(np.concatenate(nodes), return_inverse=True)
             order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            first = np.r_[True, sig[1:] != sig[:-1]][:len(sig)]
-            pivot = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-            met = np.unique(np.stack([node[node != pivot], pivot[node != pivot]], 1), axis=0) if len(sig) else np.zeros((0, 2), np.int64)
-            back = np.sort(order[first]) if len(sig) else order  # in text order: neighbours compress well
-            plain = np.concatenate(sigs)[back], np.concatenate(nodes)[back]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(plain[0])), pa.array(plain[1]), pa.nulls(len(back), pa.int64())], names=["sig", "node", "other"])
+            first = np.r_[True, sig[order][1:] != sig[order][:-1]][:len(sig)]
+            pivot = node[order][np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))] if len(sig) else node
+            label = _joined(len(names), node[order], pivot)
+            rep = label[node]  # one set stands for all that met in this task
+            order = np.lexsort((rep, sig))
+            once = np.r_[True, (sig[order][1:] != sig[order][:-1]) | (rep[order][1:] != rep[order][:-1])][:len(sig)]
+            back = np.sort(order[once])  # in text order: neighbours compress well
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig[back])), pa.array(names[rep[back]]), pa.nulls(len(back), pa.int64())], names=["sig", "node", "other"])
+            met = np.flatnonzero(label != np.arange(len(names)))
             if len(met):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mix(met[:, 0].astype(np.uint64)))), pa.array(met[:, 0]), pa.array(met[:, 1])], names=["sig", "node", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(mix(names[met].astype(np.uint64)))), pa.array(names[met]), pa.array(names[label[met]])], names=["sig", "node", "other"])
 
     return df.mapInArrow(run, "sig long, node long, other long")
 
@@ -325,9 +343,10 @@ def join_groups(df: DataFrame, n: int = 3, threshold: int = 90, id_col: str = "d
     pairs = met.select("node", F.coalesce("other", pivot).alias("other")).filter("node <> other").distinct()
     groups = components(pairs, "node", "other")
     wanted = written(groups.join(node_docs, "node"), "candidates")
-    texts = docs.join(wanted.select(F.col("first_id").alias("doc_id"), "node"), "doc_id").select("node", "text")
-    keys = _block_keys(wanted, threshold, block_rows, block_grams)
+    # shuffled by key whatever the number of candidates: one plan at every size
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.repartition(parts, "doc_id").join(wanted.select(F.col("first_id").alias("doc_id"), "node"), "doc_id").select("node", "text")
+    keys = _block_keys(wanted, threshold, block_rows, block_grams)
     blocks = keys.join(_sets(texts, n), "node").select("block", "node", "grams").repartition(parts, "block").sortWithinPartitions("block")
     linked = components(written(_links(blocks, threshold), "links"))
     named = node_docs.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
