@@ -10,7 +10,8 @@ word came earlier.  Lines are judged on the input, not on what is left.
 1. Equal lines: one aggregation by line hash keeps the earliest place.
 2. Lines with a possible partner: of two lines one word apart, the first or
    the last half (of the shorter length) is the same, so lines that share no
-   half with a different line have an empty neighbourhood and stop here.
+   half with a different line have an empty neighbourhood and stop here.  A
+   task sends one line for each half, and tells at once which lines met there.
 3. The others send the hash of every variant with one word deleted, with its
    place, and of the whole line.  Equal variants at the same place are one
    replaced word; a variant equal to a whole line is one inserted word.
@@ -28,10 +29,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexis.llm.common import documents, mix, powers, prefix_hash, range_hash, row_chunks, signed, utf8, word_bounds, written
+from lexis.llm.common import CHUNK_BYTES, documents, mix, powers, prefix_hash, range_hash, row_chunks, signed, utf8, word_bounds, written
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
@@ -57,16 +58,19 @@ class Lines:
         """Hash of the word sequences [first, last) and their length."""
         return mix(range_hash(self.prefix, first, last) + (last - first).astype(np.uint64) * _ODD)
 
-    def halves(self, at: np.ndarray) -> list[np.ndarray]:
-        """First and last half, for the line's own length and for one word less."""
+    def halves(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, index into ``at``) of the first and the last half of each line.
+
+        A half is ``n // 2`` words.  Lines of an even length also send halves of
+        one word less, which is what a line one word shorter sends.
+        """
         a, b = self.first[at], self.last[at]
-        out = []
-        for less in (0, 1):
-            m = b - a - less
-            half = m // 2
-            level = m.astype(np.uint64) * np.uint64(4)
-            out += [mix(self.key(a, a + half) + mix(level)), mix(self.key(b - half, b) + mix(level + np.uint64(1)))]
-        return out
+        n = b - a
+        even = np.flatnonzero(n % 2 == 0)
+        who = np.r_[np.arange(len(at)), even]
+        half = np.r_[n // 2, n[even] // 2 - 1]
+        a, b = a[who], b[who]
+        return np.r_[mix(self.key(a, a + half) + np.uint64(1)), mix(self.key(b - half, b) + np.uint64(2))], np.r_[who, who]
 
     def deletions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(variant hash, place of the deleted word, index into ``at``) of every one-word deletion."""
@@ -81,58 +85,48 @@ class Lines:
         return mix(left + right + (n[who] - 1).astype(np.uint64) * _ODD), place, who
 
 
-def _line_rows(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """``doc_id, line, id`` of every judged line, and the half keys of the long ones (else null)."""
-    names = ["doc_id", "line", "id", "k0", "k1", "k2", "k3"]
-
+def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, line, id`` of every judged line."""
     def run(batches):
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi in row_chunks(offsets):
                 lines = Lines(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                n = lines.last - lines.first
-                at = np.flatnonzero(n >= min_words)
-                short = n[at] < near_words
-                keys = [pa.array(signed(k), mask=short) for k in lines.halves(at)]
+                at = np.flatnonzero(lines.last - lines.first >= min_words)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][lines.row[at]]), pa.array(lines.line[at]),
-                                                  pa.array(signed(lines.key(lines.first[at], lines.last[at]))), *keys], names=names)
-
-    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in names))
-
+                                                  pa.array(signed(lines.key(lines.first[at], lines.last[at])))], names=["doc_id", "line", "id"])
 
-def _listed(batch: pa.RecordBatch, lo: int, hi: int, lines: Lines) -> np.ndarray:
-    """Indices of the lines named by the ``lines`` list column of rows [lo, hi)."""
-    part = batch.column("lines").slice(lo, hi - lo)
-    rows = np.repeat(np.arange(hi - lo), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    wanted = rows * (1 << 40) + part.flatten().to_numpy(zero_copy_only=False)
-    return np.flatnonzero(np.isin(lines.row * (1 << 40) + lines.line, wanted))
+    return docs.mapInArrow(run, "doc_id long, line long, id long")
 
 
-def _variant_rows(texts: DataFrame) -> DataFrame:
-    """``key, place, doc_id, line``: deletion variants of the listed lines; place -1 is the whole line."""
-    names = ["key", "place", "doc_id", "line"]
-
+def _half_rows(docs: DataFrame, near_words: int) -> DataFrame:
+    """``k, id, met``: one line for each half met in the task, and (``met``) every line that met a different one there."""
     def run(batches):
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            halves, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for lo, hi in row_chunks(offsets):
                 lines = Lines(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
-                chosen = _listed(batch, lo, hi, lines)
-                for at in np.array_split(chosen, max(1, len(chosen) // 5000)):
-                    key, place, who = lines.deletions(at)
-                    who = np.r_[who, np.arange(len(at))]
-                    key = np.r_[key, lines.key(lines.first[at], lines.last[at])]
-                    place = np.r_[place, np.full(len(at), -1)]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(place), pa.array(ids[lo:hi][lines.row[at][who]]),
-                                                      pa.array(lines.line[at][who])], names=names)
-
-    return texts.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+                at = np.flatnonzero(lines.last - lines.first >= near_words)
+                half, who = lines.halves(at)
+                halves.append(half)
+                owners.append(signed(lines.key(lines.first[at], lines.last[at]))[who])
+            half, owner = np.concatenate(halves), np.concatenate(owners)
+            order = np.lexsort((owner, half))
+            half, owner = half[order], owner[order]
+            first = np.r_[True, half[1:] != half[:-1]][:len(half)]
+            pivot = owner[np.maximum.accumulate(np.where(first, np.arange(len(half)), 0))] if len(half) else owner
+            met = np.unique(np.r_[owner[owner != pivot], pivot[owner != pivot]])
+            k = np.r_[signed(half[first]), signed(mix(met.astype(np.uint64)))]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.r_[owner[first], met]),
+                                              pa.array(np.r_[np.zeros(first.sum(), bool), np.ones(len(met), bool)])], names=["k", "id", "met"])
+
+    return docs.mapInArrow(run, "k long, id long, met boolean")
 
 
 def _line_words(texts: DataFrame) -> DataFrame:
-    """``doc_id, line, words`` of the listed lines (words joined by single blanks)."""
+    """``doc_id, line, words`` of the lines in the ``lines`` list (words joined by single blanks)."""
     def run(batches):
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
@@ -140,7 +134,10 @@ def _line_words(texts: DataFrame) -> DataFrame:
             for lo, hi in row_chunks(offsets):
                 body = raw[offsets[lo]:offsets[hi]]
                 lines = Lines(body, offsets[lo:hi + 1] - offsets[lo])
-                at = _listed(batch, lo, hi, lines)
+                part = batch.column("lines").slice(lo, hi - lo)
+                rows = np.repeat(np.arange(hi - lo), part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                wanted = rows * (1 << 40) + part.flatten().to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(np.isin(lines.row * (1 << 40) + lines.line, wanted))
                 data = body.tobytes()
                 words = [b" ".join(data[lines.starts[a]:lines.ends[b - 1]].split()).decode() for a, b in zip(lines.first[at].tolist(), lines.last[at].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][lines.row[at]]), pa.array(lines.line[at]), pa.array(words, pa.string())], names=["doc_id", "line", "words"])
@@ -148,6 +145,25 @@ def _line_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, line long, words string")
 
 
+def _variant_rows(words: DataFrame) -> DataFrame:
+    """``key, place, doc_id, line``: one-word deletions of the lines; place -1 is the whole line."""
+    names = ["key", "place", "doc_id", "line"]
+
+    def run(batches):
+        for batch in batches:
+            raw, offsets = utf8(batch.column("words"))
+            ids, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line"))
+            for lo, hi in row_chunks(offsets, CHUNK_BYTES // 4):
+                lines = Lines(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                at = np.arange(len(lines.first))
+                key, place, who = lines.deletions(at)
+                row = lo + lines.row[np.r_[who, at]]
+                key = np.r_[key, lines.key(lines.first, lines.last)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.r_[place, np.full(len(at), -1)]), pa.array(ids[row]), pa.array(line[row])], names=names)
+
+    return words.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
 def within_one_word(a: str, b: str) -> bool:
     """Whether at most one word is inserted, removed or replaced between two lines."""
     x, y = a.split(" "), b.split(" ")
@@ -177,25 +193,26 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, near_words: int =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents(df, id_col, text_col).filter("doc_id IS NOT NULL")
     placed = docs.repartition(n, "doc_id")  # one exchange of the texts serves every later join
-    lines = written(_line_rows(docs, min_words, near_words), "lines").withColumn("at", F.struct("doc_id", "line"))
+    lines = written(_line_rows(docs, min_words), "lines").withColumn("at", F.struct("doc_id", "line"))
     firsts = lines.groupBy("id").agg(F.min("at").alias("first"))
 
-    keys = lines.filter("k0 IS NOT NULL").select("id", F.explode(F.array("k0", "k1", "k2", "k3")).alias("k"))
-    shared = keys.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("k")
-    maybe = keys.join(shared, "k").select("id").distinct()
+    whole = Window.partitionBy("k")
+    halves = _half_rows(docs, near_words).select("id", "met", (F.min("id").over(whole) < F.max("id").over(whole)).alias("shared"))
+    maybe = halves.filter("met OR shared").select("id").distinct()
     chosen = written(maybe.join(firsts, "id").select("id", "first.doc_id", "first.line"), "maybe")
     lists = chosen.groupBy("doc_id").agg(F.collect_list("line").alias("lines"))
-    variants = _variant_rows(placed.join(lists, "doc_id")).select("key", "place", F.struct("doc_id", "line").alias("at"))
-    earliest = variants.groupBy("key", "place").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    kinds = earliest.groupBy("key").agg(F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("cut"))
+    # the words of the chosen lines, dealt once for the variants and the check
+    words = _line_words(placed.join(lists, "doc_id")).repartition(n, "doc_id", "line")
+    variants = _variant_rows(words).select("key", "place", F.struct("doc_id", "line").alias("at"))
+    earliest = variants.groupBy("key", "place").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    kinds = earliest.groupBy("key").agg(F.min(F.when(F.col("place") < 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("first"))).alias("cut"),
+                                        F.sum("n").alias("lines")).filter("lines > 1")
     other = F.when(F.col("place") < 0, F.col("cut")).otherwise(F.col("whole"))
-    partner = earliest.join(kinds, "key").select("key", "place", "first", "last", other.alias("other"))
-    partner = partner.select("key", "place", F.least(F.when(F.col("place") >= 0, F.col("first")), F.col("other")).alias("partner"), "last").filter("partner < last").drop("last")
-    pairs = written(variants.join(partner, ["key", "place"]).filter("partner < at").groupBy("at").agg(F.min("partner").alias("partner")).select(
-        "at.doc_id", "at.line", F.col("partner.doc_id").alias("other_id"), F.col("partner.line").alias("other_line")), "line-pairs")
+    partner = earliest.join(kinds, "key").filter((F.col("place") >= 0) & (F.col("n") > 1) | other.isNotNull()).select(
+        "key", "place", F.least(F.when(F.col("place") >= 0, F.col("first")), other).alias("partner"))
+    pairs = variants.join(partner, ["key", "place"]).filter("partner < at").groupBy("at").agg(F.min("partner").alias("partner")).select(
+        "at.doc_id", "at.line", F.col("partner.doc_id").alias("other_id"), F.col("partner.line").alias("other_line"))
 
-    both = pairs.select("doc_id", "line").union(pairs.select("other_id", "other_line"))
-    words = _line_words(placed.join(both.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "doc_id"))
     others = words.select(F.col("doc_id").alias("other_id"), F.col("line").alias("other_line"), F.col("words").alias("other_words"))
     near = _verified(pairs.join(words, ["doc_id", "line"]).join(others, ["other_id", "other_line"])).distinct()
     near_ids = chosen.join(near, ["doc_id", "line"]).select("id", F.lit(True).alias("near"))
