@@ -50,9 +50,9 @@ CHAR_CLASSES = {
 
 
 
-def _matching(pattern: str) -> Column:
-    """Characters of the text that match ``pattern`` (a one-character class)."""
-    return F.length("text") - F.length(F.regexp_replace("text", pattern, ""))
+def _matching(column: str, pattern: str) -> Column:
+    """Characters that match ``pattern`` (a one-character class)."""
+    return F.length(column) - F.length(F.regexp_replace(column, pattern + "+", ""))
 
 
 def _covered(places: Column, width: int) -> Column:
@@ -69,16 +69,18 @@ def histograms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     text is n log n.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).alias("label"))
-    rows = rows.select("doc_id", "label", F.length("text").cast("long").alias("n_chars"),
+    # lower-case letters are most of a text: the other classes are counted in what is left of it
+    rows = rows.select("doc_id", "label", F.length("text").cast("long").alias("n_chars"), F.regexp_replace("text", "[a-z]+", "").alias("rest"),
                        F.filter(F.split("text", BLANK), lambda w: w != "").alias("words"),
-                       F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
-                       *[_matching(p).cast("long").alias(f"n_{name}") for name, p in CHAR_CLASSES.items()])
-    common = F.array(*map(F.lit, COMMON_WORDS))
+                       F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"))
     word = lambda i: F.get("words", i)
-    windows = F.when(F.size("words") >= 3, F.transform(
-        F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.struct(F.xxhash64(word(i), word(i + 1), word(i + 2)).alias("h"), i.alias("i"))))
-    rows = rows.select("*", F.size("words").cast("long").alias("n_words"), F.array_sort(windows).alias("sorted"),
-                       F.filter(F.transform("words", F.lower), lambda w: F.array_contains(common, w)).alias("hits"))
+    hashes = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))))
+    rows = rows.select("*", F.size("words").cast("long").alias("n_words"), hashes.alias("hashes"),
+                       F.filter(F.transform("words", F.lower), lambda w: w.isin(COMMON_WORDS)).alias("hits"),
+                       *[_matching("rest", p).cast("long").alias(f"n_{name}") for name, p in CHAR_CLASSES.items()])
+    # only a text with an equal pair of windows is sorted
+    placed = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    rows = rows.select("*", placed.alias("sorted"))
     near = lambda x, j: (x["h"] == F.get("sorted", j - 1)["h"]) | (x["h"] == F.get("sorted", j + 1)["h"])
     twice = F.filter("sorted", lambda x, j: F.coalesce(near(x, j), F.when(j == 0, x["h"] == F.get("sorted", j + 1)["h"]), F.when(j > 0, x["h"] == F.get("sorted", j - 1)["h"]), F.lit(False)))
     rows = rows.select("*", F.array_sort(F.transform(twice, lambda x: x["i"])).alias("places"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.llm import bpe, decontam, langid, licenses, lines, lm, ngram_join, pii, quality, suffix
+from lexis.llm import bpe, decontam, langid, licenses, lines, lm, ngram_join, oracles, pii, quality, suffix
 from lexis.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +36,7 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@query("op1_line_dedup")
+@query("op1_line_dedup", oracles.LINE_DEDUP)
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.deduplicated(read(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_judged", "n_exact", "n_near", "only_copies",
@@ -55,7 +55,7 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), rank_file())
 
 
-@query("op4_cross_entropy_difference")
+@query("op4_cross_entropy_difference", oracles.CROSS_ENTROPY)
 def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the texts labelled good and not toxic."""
     target = read(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
@@ -63,7 +63,7 @@ def cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
 
 
-@query("op5_quality_divergence")
+@query("op5_quality_divergence", oracles.QUALITY)
 def quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -85,7 +85,7 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.round(F.array_max(F.transform("paragraphs", lambda p: p["probability"])), 4).alias("probability"))
 
 
-@query("op9_benchmark_decontamination")
+@query("op9_benchmark_decontamination", oracles.DECONTAMINATION)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -93,12 +93,12 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"))
 
 
-@query("op10_suffix_dedup")
+@query("op10_suffix_dedup", oracles.SUFFIX)
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(read(spark, sf_dir, "documents"))
 
 
-@query("op6_ngram_jaccard_join")
+@query("op6_ngram_jaccard_join", oracles.JACCARD)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ngram_join.join_groups(read(spark, sf_dir, "documents"), n=3, threshold=90)
     return groups.select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id")
