@@ -4,11 +4,13 @@ Rows are distinct n-gram sets (texts with equal sets share a row), columns are
 n-grams.  Two rows link when 100 * |A and B| >= threshold * |A or B|.
 
 1. *Column blocks.*  Linked sets differ in at most
-   ``(100 - t) / (100 + t) * (|A| + |B|)`` n-grams.  Cut the columns into two
-   blocks more than that (by hash, per size class): linked rows agree in at
-   least two whole blocks.  A row sends one hash per block that holds
-   something, and one per pair of empty blocks, so every linked pair of rows
-   meets at some hash, whatever n-grams are frequent.
+   ``(100 - t) / (100 + t) * (|A| + |B|)`` n-grams.  Cut the columns into more
+   blocks than that (by hash, per size class): linked rows agree in some
+   whole blocks, more of them than a row usually has blocks with under two
+   n-grams.  A row sends one hash per block with more, and for rows with
+   unusually many such weak blocks a prefix of these, so every linked pair of
+   rows meets at some hash, whatever n-grams are frequent, and rows that share
+   no more than single n-grams do not.
 2. *Row blocks.*  Rows that meet are joined into candidate groups.  A group
    beyond ``BLOCK_ROWS`` rows or ``BLOCK_GRAMS`` n-grams is cut into blocks by
    size class and hash, and only block pairs whose sizes can link are formed.
@@ -31,6 +33,8 @@ out.  N-grams and sets are compared by 64-bit hash.  Other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -42,6 +46,10 @@ from lexis.llm.graph import components
 BLOCK_ROWS = 1500
 BLOCK_GRAMS = 1_500_000
 FLUSH_ROWS = 4000
+FILLED = 2
+SPREAD = -1.0
+"""Spare blocks beside the usual number of weak ones, in its standard deviations; any value is exact."""
+"""N-grams that a column block must hold to be sent as a matter of course."""
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,41 +90,61 @@ class Blocks:
     def size_class(self, n: np.ndarray) -> np.ndarray:
         return np.floor(np.log(np.maximum(n, 1)) / np.log(self.ratio) + 1e-9).astype(np.int64)
 
-    def count(self, level: int) -> int:
-        """Column blocks for pairs whose smaller set is of class ``level`` (0: only equal sets link)."""
+    @lru_cache(None)  # noqa: B019
+    def layout(self, level: int) -> tuple[int, int]:
+        """(column blocks, spare blocks) for pairs whose smaller set is of class ``level`` (0: only equal sets link).
+
+        Linked sets agree in all blocks but the differing n-grams', so in more
+        than ``spare`` of them.  A block with fewer than ``FILLED`` n-grams is
+        weak; ``spare`` is about the usual number of weak blocks, so that few of
+        them need to be sent.
+        """
         top = self.ratio ** (level + 1) + 1e-6
         differ = int((100 - self.threshold) * (top + top * 100 / self.threshold) / (100 + self.threshold) + 1e-6)
-        return differ + 2 if differ else 0
+        spare = 1
+        for _ in range(30):
+            mean = self.ratio ** level / (differ + 1 + spare)
+            weak = (differ + 1 + spare) * np.exp(-mean) * (1 + mean)
+            spare = min(int(weak + SPREAD * np.sqrt(weak)) + 1, 2 + differ)
+        return (differ + 1 + spare, spare) if differ else (0, 0)
 
     def signatures(self, grams: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, row) of every filled block and every pair of empty blocks."""
+        """(signature, row) of every block that is not weak; of weak ones, in order, as many as exceed the spare.
+
+        Two sets whose agreeing blocks are all weak share more than ``spare``
+        weak blocks, so one of the first ``weak - spare`` of each (the prefix
+        of a set of that overlap) is common to both.
+        """
         size = np.diff(begin)
         own = self.size_class(size)
         sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(1)))]
         high = grams >> np.uint64(32)
         out, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for level in np.unique(np.r_[own, own - 1]).tolist():
-            blocks = self.count(level) if level >= 0 else 0
+            blocks, spare = self.layout(level) if level >= 0 else (0, 0)
             member = np.flatnonzero(((own == level) | (own == level + 1)) & (size > 0))
             if not blocks or not len(member):
                 continue
             count = size[member]
-            which = np.repeat(member, count)
-            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[which]
-            block = (high[place] * np.uint64(blocks)) >> np.uint64(32)
-            head = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (block[1:] != block[:-1])])
-            ends = np.r_[place[head[1:] - 1], place[-1]] + 1
-            content = sums[ends] - sums[place[head]]
-            salt = np.uint64(level * 1_000_003 + 17)
-            out.append(mix(content * _ODD + mix(block[head] + (salt << np.uint64(20)))))
-            rows.append(which[head])
-            filled = np.bincount(np.searchsorted(member, which[head]), minlength=len(member))
-            for i in np.flatnonzero(filled < blocks - 1).tolist():
-                have = block[head][which[head] == member[i]].astype(np.int64)
-                gaps = np.setdiff1d(np.arange(blocks), have).astype(np.uint64)
-                x, y = np.triu_indices(len(gaps), 1)
-                out.append(mix(gaps[x] * np.uint64(1 << 32) + gaps[y] + mix(np.array([salt + np.uint64(99)]))[0]))
-                rows.append(np.full(len(x), member[i]))
+            which = np.repeat(np.arange(len(member)), count)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[member][which]
+            cell = which * blocks + ((high[place] * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+            held = np.bincount(cell, minlength=len(member) * blocks)
+            ends = np.cumsum(held).reshape(len(member), blocks)
+            ends = ends - ends[:, :1] + held.reshape(len(member), blocks)[:, :1] + begin[member][:, None]
+            held = held.reshape(len(member), blocks)
+            content = sums[ends] - sums[ends - held]
+            salt = mix(np.arange(blocks).astype(np.uint64) + np.uint64(level * 1_000_003 + 17 << 20))
+            sig = mix(content * _ODD + salt[None, :])
+            weak = held < FILLED
+            # weak blocks in order: fuller ones first, then by place (1 for the first)
+            order = np.argsort(np.where(weak, -held, 1), axis=1, kind="stable")
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(1, blocks + 1)[None, :].repeat(len(member), 0), 1)
+            sent = ~weak | (rank <= (weak.sum(1) - spare)[:, None])
+            r, _ = np.nonzero(sent)
+            out.append(sig[sent])
+            rows.append(member[r])
         return np.concatenate(out), np.concatenate(rows)
 
 
