@@ -183,6 +183,23 @@ def test_language_id(spark):
     assert [r["lang_pred"] for r in langid.identify(frame(spark, [(1, "text")]), nothing).collect()] == ["und"]
 
 
+def test_language_id_margin_does_not_shrink_with_the_length(spark):
+    rnd = random.Random(3)
+    vocabularies = [["".join(rnd.choices(letters, k=rnd.randrange(3, 9))) for _ in range(2000)] for letters in ("abcdefghij", "fghijklmno")]
+    contents = [" ".join(rnd.choices(words, k=40_000)).encode()[:200_000] for words in vocabularies]
+    learned = langid.Dictionaries(("a", "b"), tuple(contents))
+    long = " ".join(rnd.choices(vocabularies[0], k=2_000_000))[:12_000_000]
+    got = {r["doc_id"]: r for r in langid.identify(frame(spark, [(1, long[:4096]), (2, long[:100_000]), (3, long)]), learned).collect()}
+    assert all(r["lang_pred"] == "a" and not r["rejected"] for r in got.values())
+    assert got[3]["score"] > 0.5 * got[1]["score"] and got[2]["score"] > 0.5 * got[1]["score"]
+
+
+def test_language_id_blocks_cover_the_text():
+    for size in (0, 1, langid.BLOCK_BYTES, langid.BLOCK_BYTES + 1, 100_001):
+        raw = bytes(i % 251 for i in range(size))
+        assert b"".join(langid.blocks(raw)) == raw and all(len(x) <= langid.BLOCK_BYTES for x in langid.blocks(raw))
+
+
 def test_cross_entropy_difference(spark, rows):
     target = {doc for doc, _ in rows if doc % 2}
     table = spark.createDataFrame([(doc,) for doc in [*target, *target, 77777]], "doc_id long")
