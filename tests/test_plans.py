@@ -53,3 +53,20 @@ def test_document_frequency_needs_no_dedup_shuffle(spark):
     plan = _plan(QUERIES["word_distribution_df"](spark, SF))
     assert plan.count("hashpartitioning(word") == 1
     assert "array_distinct" in plan
+
+
+@pytest.mark.parametrize("name, points, rounds", [("svm_grid_search", 12, None), ("gbt_grid_search", 18, 100)])
+def test_registered_grid_searches_cover_the_whole_grid(spark, monkeypatch, name, points, rounds):
+    from lexis.plans import trained
+    seen = {}
+
+    def stop(pipe, grid, train):
+        seen.update(pipe=pipe, points={tuple(sorted((k.name, v) for k, v in p.items())) for p in grid}, train=train.count())
+        raise StopIteration
+
+    monkeypatch.setattr(trained.T, "grid_search", stop)
+    with pytest.raises(StopIteration):
+        QUERIES[name](spark, SF)
+    assert len(seen["points"]) == points and seen["train"] == 450
+    if rounds:
+        assert seen["pipe"].getStages()[-1].getClassifier().getMaxIter() == rounds
