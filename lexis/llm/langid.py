@@ -31,7 +31,7 @@ UND = "und"
 SAMPLE_ROWS = 768
 """Learning rows per label that a dictionary is cut from (those of smallest hashed key)."""
 SAMPLE_CHARS = 300
-"""Characters taken from each sampled row; the product bounds a dictionary."""
+"""Characters taken from each sampled row, at a hashed place of its text; the product bounds a dictionary."""
 MAX_LABELS = 500
 """More distinct labels than this are refused, so that what reaches the driver is bounded."""
 LEVEL = 6
@@ -65,8 +65,11 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     for r in sizes:
         rate = F.when(F.col("l") == r["l"], F.lit(min(1.0, (4.0 * sample_rows + 64) / r["count"]))).otherwise(rate)
     key = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
+    # a piece starts anywhere in its text, and a piece that repeats counts once
+    start = (F.pmod(F.xxhash64("k", F.lit("piece")), F.greatest(F.length("t") - sample_chars, F.lit(0)) + 1) + 1).cast("int")
     ranked = (rows.withColumn("h", key).filter(F.col("h") < rate * (1 << 30))
-              .select("l", "h", "k", F.substring("t", 1, sample_chars).alias("t"))
+              .select("l", "h", "k", F.substring("t", start, F.lit(sample_chars)).alias("t"))
+              .groupBy("l", "t").agg(F.min(F.struct("h", "k")).alias("p")).select("l", "p.h", "p.k", "t")
               .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", "k", "t")))
               .filter(F.col("r") <= sample_rows))
     texts: dict[str, list[str]] = {label: [] for label in order}

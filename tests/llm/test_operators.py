@@ -200,6 +200,18 @@ def test_language_id_blocks_cover_the_text():
         assert b"".join(langid.blocks(raw)) == raw and all(len(x) <= langid.BLOCK_BYTES for x in langid.blocks(raw))
 
 
+def test_language_id_learns_past_a_common_banner(spark):
+    rnd = random.Random(6)
+    vocabularies = {name: ["".join(rnd.choices(letters, k=rnd.randrange(3, 9))) for _ in range(300)] for name, letters in (("a", "abcdefghij"), ("b", "fghijklmno"))}
+    banner = "the same banner opens every text of this source " * 7
+    docs = [(i, banner + " ".join(rnd.choices(vocabularies["ab"[i % 2]], k=300)), "ab"[i % 2]) for i in range(120)]
+    copies = [(1000 + i, "one short text that is given again and again", "a") for i in range(50)]
+    learned = langid.learn(spark.createDataFrame(docs + copies, "doc_id long, text string, lang string"))
+    for label, content in zip(learned.labels, learned.contents):
+        assert sum(w in content.decode().split() for w in vocabularies[label]) > 200
+    assert dict(zip(learned.labels, learned.contents))["a"].count(b"one short text") == 1
+
+
 def test_cross_entropy_difference(spark, rows):
     target = {doc for doc, _ in rows if doc % 2}
     table = spark.createDataFrame([(doc,) for doc in [*target, *target, 77777]], "doc_id long")
