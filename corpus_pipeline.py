@@ -5,14 +5,17 @@ predecessor kept; its result is written as Parquet and reread as the next
 stage's ``docs``.  All but the last return the columns of ``docs`` unchanged in
 name and order (``text`` and ``n_chars`` change where lines go).
 
-Rows are matched by ``doc_id``, which names a document; rows with null
-``doc_id`` cannot be judged by the joins and leave with line dedup.  Null and
-empty texts have no letter, so language ID rejects them.  Empty tables give
-empty results.
+Rows are matched by ``doc_id``, which names a document; for the joins of a
+stage, each row with null ``doc_id`` gets a written key of its own after all
+others, and null again in the result.  Null and empty texts have no letter, so
+language ID rejects them.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +28,23 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
+def _every_row(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` with a key for the rows whose ``doc_id`` is null."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        top, missing = docs.agg(F.max(F.col("doc_id").cast("long")), F.count_if(F.col("doc_id").isNull())).first()
+        if not missing:
+            return stage(spark, docs, sf_dir)
+        top = -1 if top is None else top
+        own = written(docs.filter("doc_id IS NULL").withColumn("doc_id", F.monotonically_increasing_id() + F.lit(top) + 1), "no-doc-id")
+        keyed = docs.filter("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(own)
+        given = F.when(F.col("doc_id") <= top, F.col("doc_id")).cast(docs.schema["doc_id"].dataType)
+        return stage(spark, keyed, sf_dir).withColumn("doc_id", given)
+
+    return run
+
+
+@_every_row
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those without letters or with a narrow margin go."""
     learned = langid.learn(docs.filter(~langid.held_out()))
@@ -32,6 +52,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, judged.filter("NOT rejected"))
 
 
+@_every_row
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; documents whose every judged line is a repeat go whole."""
     left = lines.deduplicated(docs).filter("NOT only_copies").select("doc_id", F.col("text").alias("_left")).dropDuplicates(["doc_id"])
@@ -40,12 +61,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 
+@_every_row
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of smallest key, stays of each group of linked documents (five-word shingles, 0.8)."""
     groups = ngram_join.join_groups(docs, n=5, threshold=80)
     return _only(docs, groups.filter("doc_id = component_id"))
 
 
+@_every_row
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     found = decontam.contamination(docs, read(spark, sf_dir, "benchmark"))

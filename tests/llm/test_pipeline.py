@@ -72,5 +72,29 @@ def test_empty_documents(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
 
 
+def test_rows_without_doc_id_are_judged_like_others(spark):
+    docs = read(spark, SF, "documents")
+    item = max((r["text"] for r in read(spark, SF, "benchmark").collect()), key=len)
+    body = [f"{item}\nnumber {i} of the texts that nobody has given a key but that are as long as others are" for i in range(2)]
+    lone = [r["text"] for r in docs.orderBy(F.desc(F.length("text")), "doc_id").limit(1).collect()][0]
+    new = spark.createDataFrame([(None, lone + "\n" + lone), (None, "the rather short story of a man who went to the sea in a boat and came back with no fish at all"),
+                                 (None, "the rather short story of a man who went to the sea in a boat and came back with no fish at all"), (None, body[0])],
+                                docs.select("doc_id", "text").schema)
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in docs.schema if f.name not in ("doc_id", "text")}
+    every = written(docs.unionByName(new.withColumns(rest).select(docs.columns)), "with-null-keys")
+    nulls = lambda df: sorted(r["text"] for r in df.filter("doc_id IS NULL").collect())
+    judged = corpus_pipeline.language_id(spark, every, SF)
+    assert judged.dtypes == docs.dtypes and len(nulls(judged)) == 4
+    lines = written(corpus_pipeline.line_dedup(spark, every, SF), "lines-null")
+    assert lines.dtypes == docs.dtypes and len(nulls(lines)) == 2  # a copy of a keyed text and one of two equal texts go whole
+    assert sum(t.startswith("the rather short story") for t in nulls(lines)) == 1
+    near = nulls(corpus_pipeline.near_duplicates(spark, every, SF))
+    assert sum(t.startswith("the rather short story") for t in near) == 1
+    clean = nulls(corpus_pipeline.decontamination(spark, every, SF))
+    assert body[0] not in clean and len(clean) == 2 + (lone + "\n" + lone in clean)
+    same = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()}
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, every, SF).filter("doc_id IS NOT NULL").select("doc_id").collect()} == same
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
