@@ -1,6 +1,6 @@
 """Operators for preparing large text collections for language-model training.
 
-Ten operators over a ``documents`` table (``doc_id``, ``text``, ...), their
+Thirteen operators over a ``documents`` table (``doc_id``, ``text``, ...), their
 registered queries (``lexis.llm.queries``) and the corpus pipeline at the
 repository top.  Nothing outside this subpackage imports it.
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexis.llm import quality
+from lexis.llm import infill, quality
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = r"[\x20\x09-\x0D]+"
@@ -150,3 +150,23 @@ SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coal
 FROM d JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 QUALITY = _quality_sql()
+
+
+def _infill_sql() -> str:
+    h = ", ".join(f"('0x' || substr(g, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+    marked = " OR ".join(f"contains(t, '{m}')" for m in (infill.PREFIX, infill.SUFFIX, infill.MIDDLE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{infill.SALT}' || coalesce(doc_id::VARCHAR, '')) AS g FROM documents),
+c AS (SELECT *, length(t) AS n, {h} FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR {marked} OR h3 % 100 >= {infill.ARRANGED_PERCENT} THEN 'plain'
+                  WHEN h4 % 100 < {infill.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{infill.PREFIX}' || pre || '{infill.SUFFIX}' || suf || '{infill.MIDDLE}' || mid
+              ELSE '{infill.SUFFIX}' || suf || '{infill.PREFIX}' || pre || '{infill.MIDDLE}' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p"""
+
+
+FILL_IN_MIDDLE = _infill_sql()

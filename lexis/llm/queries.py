@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.llm import bpe, decontam, langid, licenses, lines, lm, ngram_join, oracles, pii, quality, suffix
+from lexis.llm import bpe, decontam, infill, langid, licenses, lines, lm, ngram_join, oracles, pair_index, pii, quality, suffix, whitening
 from lexis.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,28 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ngram_join.join_groups(read(spark, sf_dir, "documents"), n=3, threshold=90)
     return groups.select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id")
+
+
+@query("op11_fill_in_middle", oracles.FILL_IN_MIDDLE)
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arranged texts, and the texts rebuilt from what was arranged, as digests."""
+    back = infill.restored(infill.fill_in_middle(read(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+def merge_file() -> str:
+    """The public byte-level tokenizer's file with merges and added tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op12_pair_index_bpe")
+def pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_index.round_trip_digests(read(spark, sf_dir, "documents"), merge_file())
+
+
+@query("op13_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
