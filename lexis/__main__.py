@@ -44,7 +44,7 @@ def _estimator(model: str):
     if model == "dense":
         return T.dense_grid
     if model == "xgb_val":
-        return lambda: T.gbt_grid(validation_col="is_val")
+        return T.validated_trees
     raise SystemExit(f"unknown model {model!r} (svm, svm_rbf, xgb, xgb_val, dense, logistic)")
 
 

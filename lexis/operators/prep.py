@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexis.functions.arrays import one_hot, seeded_key
+from lexis.functions.arrays import hex_int, one_hot, seeded_key
 from lexis.functions.text import word_tokens
 from lexis.operators.joins import bounded_broadcast
-from lexis.operators.sampling import kth_smallest_key
+from lexis.operators.sampling import BUCKET_HEX, kth_smallest_key
 
 # Fixed defaults of the reference's preparation job.
 SAMPLE_RATE = 0.075
@@ -104,3 +104,25 @@ def train_test_split(df: DataFrame, test_size: float = TEST_SIZE, seed: str = "4
     t = kth_smallest_key(keyed, "_skey", k_of_n=lambda n: F.ceil(n * F.lit(float(test_size))))
     is_test = F.lit(False) if t is None else (key <= F.lit(t))
     return df.withColumn("split", F.when(is_test, "test").otherwise("train"))
+
+
+def stratified_folds(df: DataFrame, label_col: str = "label", id_col: str = "doc_id", n_folds: int = 3, seed: str = "42",
+                     fold_col: str = "fold") -> DataFrame:
+    """M3: exact stratified folds: the rows of a class are dealt in turn, in seeded md5 order of ``id_col``.
+
+    The fold sizes of a class differ by at most one.  A row's place in its
+    class is the count of the class's rows in smaller key buckets (a running
+    sum over at most 16**BUCKET_HEX counts a class) plus its rank within its own
+    bucket, so a dominant class is ranked by as many tasks as there are
+    partitions.  Equal keys (repeated or null ids) are dealt in any order;
+    null labels form a class of their own.
+    """
+    key = seeded_key(f"{seed}-fold", id_col)
+    keyed = df.withColumn("_fold_key", key).withColumn("_fold_bucket", hex_int(F.col("_fold_key"), 1, BUCKET_HEX))
+    counts = keyed.groupBy(F.col(label_col).alias("_fold_label"), F.col("_fold_bucket").alias("_fold_at")).count()
+    earlier = Window.partitionBy("_fold_label").orderBy("_fold_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_fold_label", "_fold_at", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_fold_before"))
+    inside = Window.partitionBy(label_col, "_fold_bucket").orderBy("_fold_key", id_col)
+    ranked = keyed.withColumn("_fold_rank", F.row_number().over(inside) - 1)
+    joined = ranked.join(before, F.col(label_col).eqNullSafe(F.col("_fold_label")) & (F.col("_fold_bucket") == F.col("_fold_at")), "inner")
+    return joined.select(*df.columns, ((F.col("_fold_before") + F.col("_fold_rank")) % n_folds).cast("int").alias(fold_col))

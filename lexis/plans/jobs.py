@@ -23,7 +23,7 @@ from lexis.operators import prep as P
 from lexis.operators import train as T
 from lexis.operators.sampling import exact_sample
 from lexis.operators.vectors import doc_vectors_mean
-from lexis.session import cut_lineage
+from lexis.session import cut_lineage, written
 from lexis.sinks import writers as K
 from lexis.sources import stored as S
 from lexis.sources.vectors import read_word2vec_model
@@ -99,7 +99,7 @@ def _labelled_vectors(spark: SparkSession, paths: dict[str, str], emb_name: str,
 
 def run_all(spark: SparkSession, base: str, paths: dict[str, str], model_name: str,
             estimator_and_grid: Callable[..., tuple], embeddings: list[str]) -> list[str]:
-    """Entry 2: for each embedding, 3-fold grid search, test predictions, metrics, store.
+    """Entry 2: for each embedding, grid search on 3 stratified folds, test predictions, metrics, store.
 
     Every test document is scored: one without any known word has a zero
     vector (the reference's NaN vectors would stop the fit), so accuracy,
@@ -116,16 +116,19 @@ def run_all(spark: SparkSession, base: str, paths: dict[str, str], model_name: s
             train, test = (_labelled_vectors(spark, paths, emb, x) for x in ("train", "test"))
         else:
             train, test = (S.read_split(spark, paths["split"], x).withColumn("label", F.col("code").cast("double")) for x in ("train", "test"))
-        train = T.with_validation_flag(T.with_folds(train, "doc_id"), "doc_id")
-        pipe, grid = T.call_factory(estimator_and_grid, train, k)
-        cv = T.grid_search(pipe, grid, train)
-        preds = T.predict(cv.bestModel, test, "doc_id")
+        train = written(T.with_validation_flag(P.stratified_folds(train, "label", "doc_id"), "doc_id"), "grid-train")
+        made = T.call_factory(estimator_and_grid, train, k)
+        if isinstance(made, T.GridSearch):
+            model, params = made.search(train, k, T.vector_dim_of(train, "vec"))
+        else:
+            cv = T.grid_search(*made, train)
+            model, params = cv.bestModel, T.best_params(cv)
+        preds = T.predict(model, test, "doc_id")
         # the k x k table feeds five sinks: materialise it once in the shared checkpoint folder
         conf = cut_lineage(V.confusion_long(preds))
         results = V.accuracy_f1(conf)
         report = V.classification_report(conf, codes)
-        stored.append(K.store_results(spark, base, model_name, emb, cv.bestModel, T.best_params(cv),
-                                      results, report, conf, k))
+        stored.append(K.store_results(spark, base, model_name, emb, model, params, results, report, conf, k))
         preds.write.mode("overwrite").parquet(f"{base}/predictions/{stored[-1]}")
     return stored
 

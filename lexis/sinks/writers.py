@@ -101,7 +101,10 @@ def save_model(model, base: str, model_name: str, emb_name: str = "") -> str:
     """K8 / K9: ``<base>/<model>-<embedding>`` (or ``<model>``), overwritten."""
     name = f"{model_name}-{emb_name}" if emb_name else model_name
     path = f"{base}/{name}"
-    model.write().overwrite().save(path)
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+    else:
+        model.save(path)  # the library's own models overwrite their tables
     return path
 
 

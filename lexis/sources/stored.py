@@ -132,10 +132,10 @@ def read_conf_matrices(spark: SparkSession, base: str, k: int, pattern: str = "*
 
 
 def load_model(path: str, spark: SparkSession | None = None):
-    """Any saved Spark ML model (pipeline, cross-validation, classifier, word2vec).
+    """Any saved model: Spark ML's (pipeline, cross-validation, classifier, word2vec) or the library's own.
 
-    The model class is read from the saved metadata and mapped to its
-    ``pyspark.ml`` counterpart, which loads it.
+    The model class is read from the saved metadata, mapped to its
+    ``pyspark.ml`` counterpart where it is Spark's, and loads itself.
     """
     import importlib
     import json

@@ -55,18 +55,19 @@ def test_document_frequency_needs_no_dedup_shuffle(spark):
     assert "array_distinct" in plan
 
 
-@pytest.mark.parametrize("name, points, rounds", [("svm_grid_search", 12, None), ("gbt_grid_search", 18, 100)])
-def test_registered_grid_searches_cover_the_whole_grid(spark, monkeypatch, name, points, rounds):
-    from lexis.plans import trained
-    seen = {}
+@pytest.mark.parametrize("name, module, search, points", [("svm_grid_search", "kernel_svm", "svm_search", "svm_points"),
+                                                        ("gbt_grid_search", "boosting", "boosted_search", "tree_points")])
+def test_registered_grid_searches_cover_the_whole_grid(spark, monkeypatch, name, module, search, points):
+    import importlib
 
-    def stop(pipe, grid, train):
-        seen.update(pipe=pipe, points={tuple(sorted((k.name, v) for k, v in p.items())) for p in grid}, train=train.count())
+    own, seen = importlib.import_module(f"lexis.operators.{module}"), {}
+
+    def stop(train, classes, dim, **options):
+        seen.update(train=train.count(), folds=sorted(r[0] for r in train.select("fold").distinct().collect()), options=options)
         raise StopIteration
 
-    monkeypatch.setattr(trained.T, "grid_search", stop)
+    monkeypatch.setattr(own, search, stop)
     with pytest.raises(StopIteration):
         QUERIES[name](spark, SF)
-    assert len(seen["points"]) == points and seen["train"] == 450
-    if rounds:
-        assert seen["pipe"].getStages()[-1].getClassifier().getMaxIter() == rounds
+    assert seen["train"] == 450 and seen["folds"] == [0, 1, 2] and set(seen["options"]) <= {"id_col", "vec_col"}
+    assert len(getattr(own, points)()) == {"svm_points": 12, "tree_points": 18}[points]

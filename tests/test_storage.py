@@ -91,12 +91,6 @@ def test_recommended_shuffle_partitions_follow_shuffled_bytes():
     assert int(recommended_conf(100 << 40, 8000)["spark.sql.shuffle.partitions"]) < 100_000
 
 
-def test_grids_are_the_references():
-    from lexis.operators import train as T
-    assert len(T.svm_grid(1000)[1]) == 12  # the decision-shape axis never changes a prediction
-    assert len(T.gbt_grid()[1]) == 18 and T.TREE_ROUNDS == 100
-
-
 def test_salted_join_plans_without_array_scans(spark):
     from lexis.operators.joins import salted_join
     left = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(20)], "id long, word string")
