@@ -21,12 +21,13 @@ from lexis.operators import analysis as X
 from lexis.operators import evaluate as V
 from lexis.operators import prep as P
 from lexis.operators import train as T
+from lexis.operators.cooccurrence import train_word_vectors
 from lexis.operators.sampling import exact_sample
 from lexis.operators.vectors import doc_vectors_mean
 from lexis.session import cut_lineage, written
 from lexis.sinks import writers as K
 from lexis.sources import stored as S
-from lexis.sources.vectors import read_word2vec_model
+from lexis.sources.vectors import read_vector_table
 
 
 def prepare(spark: SparkSession, corpus: DataFrame, base: str,
@@ -75,9 +76,9 @@ def prepare(spark: SparkSession, corpus: DataFrame, base: str,
     stored = S.read_split(spark, paths["split"])  # the written table: lineage ends here
     loaders = dict(embeddings)
     if custom_vectors:
-        model = T.train_word2vec(stored.filter(F.col("split") == "train"))
-        paths["custom"] = K.save_model(model, f"{base}/models", "word2vec", "custom")
-        loaders["custom"] = lambda s: read_word2vec_model(paths["custom"])
+        paths["custom"] = f"{base}/models/word2vec-custom"
+        train_word_vectors(stored.filter(F.col("split") == "train")).write.mode("overwrite").parquet(paths["custom"])
+        loaders["custom"] = lambda s: read_vector_table(s, paths["custom"])
     flags = overwrite_emb if overwrite_emb is not None else {name: True for name in loaders}
     for name, loader in loaders.items():
         if not flags.get(name, False):

@@ -89,9 +89,8 @@ def test_prepare_thresholds_from_the_key_table_and_stored_split(spark):
 
 
 def test_prepare_trains_and_saves_custom_vectors(spark, monkeypatch):
-    from lexis.operators import train as T
-    fit = T.train_word2vec
-    monkeypatch.setattr(T, "train_word2vec", lambda df: fit(df, vector_size=80, max_iter=1))
+    fit = jobs.train_word_vectors
+    monkeypatch.setattr(jobs, "train_word_vectors", lambda df: fit(df, vector_size=80, epochs=1, blocks=2))
     base = tempfile.mkdtemp(prefix="lexis-custom-", dir="/tmp")
     paths = jobs.prepare(spark, load_corpus(spark, SF_TINY), base, {}, frac=1.0, custom_vectors=True)
     vecs = S.read_doc_vectors(spark, paths["vectors"], "custom")
