@@ -24,11 +24,12 @@ from lexis.operators import sequences as S
 from lexis.operators import vectors as E
 from lexis.operators.augment import synonym_augment
 from lexis.operators.sampling import exact_sample
-from lexis.operators.scoring import linear_scores, softmax
+from lexis.operators.scoring import fit_centroids, linear_scores, softmax, token_contributions
 from lexis.plans import fixtures as fx
 from lexis.plans.fixtures import (ATTRIBUTIONS_SQL, CORPUS_CLASSES, CORPUS_SQL, EMBEDDINGS,
                                   PREDICTIONS_SQL, SYNONYMS_SQL, WEIGHTS_SQL, WORD_VEC_DIM,
                                   WORD_VECTORS_SQL, sql)
+from lexis.session import written
 from lexis.sources.corpus import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,6 +662,58 @@ def q_attribution_top_words(spark, sf):
     return top.join(names, "y_pred").select("pred_class", "polarity", "rank", "word", "weight", "doc_id", "pos")
 
 
+# ------------------------------------------------- attributions of a fitted model
+CENTROID_SQL = """
+cen AS (SELECT c.code, {means} FROM docvec JOIN coded c USING (doc_id) WHERE n_known > 0 GROUP BY c.code),
+cs AS (SELECT d.doc_id, cen.code, {dot} - ({norm}) / 2 AS score FROM docvec d, cen WHERE n_known > 0),
+best AS (SELECT doc_id, code AS y_pred, score FROM cs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code) = 1),
+tw AS (SELECT w.doc_id, w.pos, w.word, ({tokdot}) / d.n_known AS weight, c.code AS y_true, b.y_pred, b.score, -({norm}) / 2 AS intercept
+       FROM words w JOIN vectors v USING (word) JOIN docvec d USING (doc_id) JOIN coded c USING (doc_id) JOIN best b USING (doc_id) JOIN cen ON cen.code = b.y_pred)""".format(
+    means=", ".join(f"avg(v{d}) AS m{d}" for d in DIMS), dot=" + ".join(f"d.v{d} * cen.m{d}" for d in DIMS),
+    norm=" + ".join(f"cen.m{d} * cen.m{d}" for d in DIMS), tokdot=" + ".join(f"v.vec[{d + 1}]::DOUBLE * cen.m{d}" for d in DIMS))
+FITTED_THRESHOLD = 0.01
+
+
+def _fitted_contributions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Token contributions under coefficients fitted on the document vectors, stored as a table and read back."""
+    coded = fx.coded_tokens(spark, sf)
+    vectors = written(fx.word_vectors(spark, sf), "word-vectors")
+    docs = E.doc_vectors_mean(coded, vectors, WORD_VEC_DIM, keep=["code"])
+    coefficients = written(fit_centroids(docs), "coefficients")
+    return token_contributions(coded, vectors, coefficients), coefficients
+
+
+FITTED_CTES = (CORPUS_SQL, WORD_VECTORS_SQL, DOCVEC_SQL, DOCVEC_FULL_SQL, CENTROID_SQL)
+
+
+@register("fitted_attribution_scores", sql(*FITTED_CTES, body="""
+SELECT doc_id, y_true, y_pred, count(*) AS n_tokens, round(any_value(score), 6) AS score, round(any_value(score), 6) AS contributions FROM tw GROUP BY doc_id, y_true, y_pred"""))
+def q_fitted_attribution_scores(spark, sf):
+    """The token contributions and the intercept of every document sum to the score of its predicted class."""
+    tokens, coefficients = _fitted_contributions(spark, sf)
+    intercept = coefficients.filter("position = -1").select(F.col("class").alias("y_pred"), F.col("coefficient").alias("b"))
+    sums = tokens.groupBy("doc_id", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n_tokens"), F.max("score").alias("score"), F.sum("weight").alias("w"))
+    return sums.join(F.broadcast(intercept), "y_pred").select("doc_id", "y_true", "y_pred", "n_tokens", r6("score").alias("score"), r6(F.col("w") + F.col("b")).alias("contributions"))
+
+
+def _fitted_mode(correct: bool):
+    sign = "=" if correct else "<>"
+
+    @register(f"fitted_attributions_{'correct' if correct else 'incorrect'}", sql(*FITTED_CTES, body=f"""
+SELECT doc_id, pos, word, y_true, y_pred, CASE WHEN weight > 0 THEN 'pos' ELSE 'neg' END AS polarity, round(weight, 6) AS weight
+FROM tw WHERE ('0x' || substr(md5('42-' || doc_id), 1, 8))::BIGINT::DOUBLE / 4294967296.0 < 0.05 AND abs(weight) >= {FITTED_THRESHOLD} AND y_pred {sign} y_true"""))
+    def run(spark, sf):
+        """X9 + X10 for correctly / incorrectly classified documents: weights of a fitted linear model."""
+        tokens, _ = _fitted_contributions(spark, sf)
+        out = X.attribution_weights(tokens, data_prop=0.05, threshold=FITTED_THRESHOLD, correct=correct, n_docs=1)
+        return out.select("doc_id", "pos", "word", "y_true", "y_pred", "polarity", r6("weight").alias("weight"))
+
+    return run
+
+
+q_fitted_attributions_correct, q_fitted_attributions_incorrect = _fitted_mode(True), _fitted_mode(False)
+
+
 # =============================================================== scoring
 SCORES_SQL = """
 wide AS (SELECT code, {ws} FROM weights GROUP BY code)""".format(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexis.sources.records import read_csv_table
+
 # Strings pandas' CSV reader turns into missing values by default.
 NA_STRINGS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -23,20 +25,20 @@ def read_corpus_csv(spark: SparkSession, path: str, columns: dict[str, str] | No
     ``columns`` maps the result's names to header names (default ``product``
     and ``narrative``); extra columns and any order are fine, a missing one
     raises.  All values are read as text.  pandas' default missing-value
-    strings become nulls so that P2 drops the same rows.
+    strings become nulls so that P2 drops the same rows.  One large file is read
+    by many tasks (``lexis.sources.records``).
 
     A CSV row has no key.  ``doc_id`` is made from the file name and the
     row's content and rank among equal rows of the file, so it does not depend
     on how the files are split; equal rows get different keys.
     """
     columns = columns or {"product": "product", "narrative": "narrative"}
-    raw = (spark.read.option("header", True).option("multiLine", True).option("inferSchema", False)
-           .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+    raw = read_csv_table(spark, path)
     missing = [c for c in columns.values() if c not in raw.columns]
     if missing:
         raise ValueError(f"{path}: no column {missing}")
     cell = lambda c: F.when(F.col(f"`{c}`").isin(NA_STRINGS), F.lit(None)).otherwise(F.col(f"`{c}`"))
-    df = raw.select(F.col("_metadata.file_name").alias("_file"), F.xxhash64(F.col("_metadata.file_name"), *[F.col(f"`{c}`") for c in raw.columns]).alias("_row"),
+    df = raw.select(F.col("file").alias("_file"), F.xxhash64(*[F.col(f"`{c}`") for c in raw.columns]).alias("_row"),
                     *[cell(c).alias(name) for name, c in columns.items()])
     # equal rows of one file are ranked: the window's groups are sets of equal rows
     again = F.row_number().over(Window.partitionBy("_file", "_row").orderBy("_row"))
