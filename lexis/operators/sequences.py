@@ -2,13 +2,17 @@
 
 The vocabulary is capped at ``max_words`` (the reference's 10,000), so it
 is a proven-small table: it is produced by a bounded top-n
-(TakeOrderedAndProject) and broadcast into the token join.
+(TakeOrderedAndProject) and sent to the tasks as a dictionary.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from lexis.functions.text import encode_fixed, pad_front
 from lexis.operators.analysis import explode_words, first_seen_key
@@ -42,27 +46,35 @@ def token_ids(tokens: DataFrame, vocab: DataFrame, tokens_col: str = "tokens",
               doc_col: str = "doc_id", offset: int = 0, unknown_id: int | None = None,
               keep: list[str] | None = None, max_words: int = MAX_WORDS) -> DataFrame:
     """``doc_id, ids`` - vocabulary ids in token order; unknown words dropped
-    (or mapped to ``unknown_id``).  Documents without any known word keep an
-    empty array.
-
-    One broadcast join (the vocabulary is capped) and one aggregation per
-    document; the per-document list is bounded by the document's length.
-    ``keep``: per-document columns carried through the aggregation (no re-join).
-    Only ids below ``max_words`` are used (the reference's ``num_words`` rule),
-    which also bounds the broadcast side to ``max_words - 1`` rows.
+    (or mapped to ``unknown_id``).  Documents without any known word, or without
+    tokens, keep an empty array; null tokens have no id.
+
+    One map stage and no shuffle: the token lists of an Arrow batch are looked
+    up as one flat array in the dictionary and rebuilt.  Only ids below
+    ``max_words`` are used (the reference's ``num_words`` rule); idx is unique,
+    so the dictionary sent to the tasks has at most ``max_words - 1`` words.
+    ``keep``: per-document columns carried through.
     """
-    capped = vocab.filter(F.col("idx") < F.lit(max_words))  # idx is unique: <= max_words - 1 rows
-    lookup = F.broadcast(capped.select("word", (F.col("idx") + F.lit(offset)).alias("id")))
     keep = list(keep or [])
-    ex = tokens.select(doc_col, *keep, F.posexplode_outer(tokens_col).alias("pos", "word"))
-    joined = ex.join(lookup, "word", "left")
-    if unknown_id is not None:
-        ident = F.when(F.col("word").isNotNull(), F.coalesce(F.col("id"), F.lit(unknown_id)))
-    else:
-        ident = F.col("id")
-    entry = F.when(ident.isNotNull(), F.struct(F.col("pos"), ident.alias("id")))
-    agg = joined.groupBy(doc_col, *keep).agg(F.array_sort(F.collect_list(entry)).alias("pairs"))
-    return agg.select(doc_col, *keep, F.transform("pairs", lambda p: p["id"]).cast("array<int>").alias("ids"))
+    rows = vocab.filter((F.col("idx") < F.lit(max_words)) & F.col("word").isNotNull()).select("word", "idx").collect()
+    words, numbers = [r["word"] for r in rows], [r["idx"] + offset for r in rows]
+    given = tokens.select(doc_col, *keep, F.col(tokens_col).alias("_tokens"))
+    schema = StructType([*[given.schema[c] for c in (doc_col, *keep)], StructField("ids", ArrayType(IntegerType()))])
+
+    def run(batches):
+        known, ident = pa.array(words, pa.string()), pa.array(numbers, pa.int32())
+        for batch in batches:
+            lists = batch.column("_tokens")
+            flat = lists.flatten()
+            ids = ident.take(pc.index_in(flat, value_set=known, skip_nulls=True))
+            if unknown_id is not None:
+                ids = pc.if_else(pc.and_(flat.is_valid(), ids.is_null()), pa.scalar(unknown_id, pa.int32()), ids)
+            has = np.r_[0, np.cumsum(ids.is_valid().to_numpy(zero_copy_only=False))]
+            edge = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
+            made = pa.ListArray.from_arrays(pa.array(has[edge], pa.int32()), ids.drop_null())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (doc_col, *keep)], made], names=[doc_col, *keep, "ids"])
+
+    return given.mapInArrow(run, schema)
 
 
 def padded_sequences(tokens: DataFrame, vocab: DataFrame, maxlen: int = MAX_LEN,

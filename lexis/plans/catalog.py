@@ -330,6 +330,23 @@ def q_doc_vectors_mean(spark, sf):
     return dv.select("doc_id", "n_known", *[r6(F.col("vec")[d]).alias(f"v{d}") for d in DIMS])
 
 
+WIDE_DIM = 300
+
+
+@register("doc_vectors_wide", sql(CORPUS_SQL, WORD_VECTORS_SQL.replace(f"range({WORD_VEC_DIM})", f"range({WIDE_DIM})"), f"""
+pairs AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY doc_id, word),
+parts AS (SELECT p.doc_id, p.n, unnest(v.vec) AS x, generate_subscripts(v.vec, 1) AS d FROM pairs p JOIN vectors v USING (word)),
+sums AS (SELECT doc_id, d, sum(n * x)::BIGINT AS s FROM parts GROUP BY doc_id, d),
+lists AS (SELECT doc_id, md5(string_agg(s::VARCHAR, ',' ORDER BY d)) AS sums_md5 FROM sums GROUP BY doc_id),
+known AS (SELECT p.doc_id, sum(p.n)::BIGINT AS n_known FROM pairs p JOIN vectors v USING (word) GROUP BY p.doc_id)""", body="""
+SELECT doc_id, coalesce(n_known, 0) AS n_known, sums_md5 FROM corpus LEFT JOIN known USING (doc_id) LEFT JOIN lists USING (doc_id)"""))
+def q_doc_vectors_wide(spark, sf):
+    """E2 at the size of real embeddings: mean times count of each of 300 integer components, as a digest."""
+    dv = E.doc_vectors_blocked(fx.tokens(spark, sf), fx.word_vectors(spark, sf, WIDE_DIM), WIDE_DIM)
+    sums = F.transform("vec", lambda x: F.round(x * F.col("n_known")).cast("long").cast("string"))
+    return dv.select("doc_id", "n_known", F.md5(F.array_join(sums, ",")).alias("sums_md5"))
+
+
 @register("embedding_matrix", sql(CORPUS_SQL, VOCAB_SQL, WORD_VECTORS_SQL, body="""
 SELECT g.idx, v.word, {cols}
 FROM (SELECT range::INTEGER AS idx FROM range(10000)) g
