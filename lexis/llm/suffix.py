@@ -18,7 +18,8 @@ the input and never cross texts.
    a bottom-up mergesort whose comparisons find the common extension of two
    suffixes by binary search on prefix polynomial hashes.  Neighbours in order
    that agree over ``length`` bytes are compared byte by byte, and all but the
-   earliest of each class repeat.
+   earliest of each class repeat.  Steps are sized by windows; a larger anchor
+   group is sorted bucket by bucket.
    An anchor with more than ``hot`` occurrences is not gathered: each of its
    windows is dealt by its own 128-bit hash instead, which spreads the group.
 5. The repeated ranges of a text are joined back to it and cut out.
@@ -40,9 +41,10 @@ from lexis.llm.common import documents, mix, powers, prefix_hash, range_hash, ro
 
 LENGTH = 100
 GRAM = 24
-HOT = 200_000
-SORT_BYTES = 4 << 20
-"""Cut-out bytes sorted in one step (whole anchor groups)."""
+HOT = 50_000
+SORT_WINDOWS = 150_000
+"""Windows sorted at once; an anchor group with more is dealt into buckets of the windows' outer bytes."""
+
 _PLACE_BITS = 24
 
 
@@ -284,6 +286,26 @@ def _merge_ranges(ids: np.ndarray, start: np.ndarray, length: int):
     return ids[new], start[new], start[last] + length
 
 
+def _buckets(total: int, raw: np.ndarray, length: int, place):
+    """The windows 0..total-1, dealt so that equal ones share a bucket and a bucket holds about ``SORT_WINDOWS``.
+
+    ``place`` gives byte offsets and keys of windows; the bucket comes from the
+    key and the outer bytes, which equal windows share.
+    """
+    if total <= SORT_WINDOWS:
+        yield np.arange(total)
+        return
+    eight, n = words8(raw), -(-total // SORT_WINDOWS)
+    bucket = np.empty(total, np.uint16)
+    n = min(n, 1 << 16)
+    for lo in range(0, total, SORT_WINDOWS):
+        at, key = place(np.arange(lo, min(lo + SORT_WINDOWS, total)))
+        outer = mix(eight[at] * np.uint64(0x9E3779B97F4A7C15) ^ eight[at + length - 8] ^ mix(key))
+        bucket[lo:lo + len(at)] = (outer >> np.uint64(20)) % np.uint64(n)
+    for i in range(n):
+        yield np.flatnonzero(bucket == i)
+
+
 def _sort_rows(cuts: DataFrame, length: int) -> DataFrame:
     """``doc_id, first, stop``: byte ranges covered by repeated windows.  Input: sorted by ``h`` in each partition."""
     def settle(t: pa.Table):
@@ -317,21 +339,30 @@ def _sort_rows(cuts: DataFrame, length: int) -> DataFrame:
                 only = np.sort(order[~same])
             else:
                 only = np.arange(len(cut))
-            w, who = windows[cut][only], np.repeat(only, windows[cut][only])
-            inner = _ranges(np.zeros(len(only), np.int64), w)
-            at = offsets[:-1][who] + inner
-            place = lead[cut].astype(np.int64)[who] - inner
-            key = mix(h[who] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            hit = repeated_windows(raw, at, key, rank[who] * 4096 + inner, length)
+            w = windows[cut][only]
+            ends = np.cumsum(w)
+
+            def expanded(index: np.ndarray):
+                """Item, place within it, byte offset and bucket key of windows given by number."""
+                spot = np.searchsorted(ends, index, "right")
+                who, inner = only[spot], index - (ends - w)[spot]
+                place = lead[cut[who]].astype(np.int64) - inner
+                return who, inner, offsets[:-1][who] + inner, mix(h[who] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+            total = int(ends[-1])
+            hit = np.zeros(total, bool)
+            for index in _buckets(total, raw, length, lambda i: expanded(i)[2:]):
+                who, inner, at, key = expanded(index)
+                hit[index] = repeated_windows(raw, at, key, rank[who] * 4096 + inner, length)
             if same.any():
                 twins = order[same]
                 source = order[lead_of[same]]
                 for a, b in zip(twins.tolist(), source.tolist()):
-                    mine = hit[who == b]
-                    s = first[cut][b] + np.flatnonzero(mine)
+                    spot = int(np.searchsorted(only, b))
+                    s = first[cut][b] + np.flatnonzero(hit[ends[spot] - w[spot]:ends[spot]])
                     out.append((np.full(len(s), ids[cut][a]), s, s + length))
-            who, start = who[hit], (first[cut][who] + inner)[hit]
-            item, a, b = _merge_ranges(who, start, length)
+            who, inner, _, _ = expanded(np.flatnonzero(hit))
+            item, a, b = _merge_ranges(who, first[cut][who] + inner, length)
             out.append((ids[cut][item], a, b))
         parts = [np.concatenate(x) for x in zip(*out)]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in parts], names=["doc_id", "first", "stop"])
@@ -339,12 +370,17 @@ def _sort_rows(cuts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
+
+        def weight(piece) -> int:
+            """Windows to sort, and what other rows take beside them."""
+            return int(np.where(piece["lead"].to_numpy() >= 0, piece["windows"].to_numpy(), 1).sum())
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                piece = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
                 held.append(piece)
-                size += piece.num_rows * 150
-                if size < SORT_BYTES:
+                size += weight(piece)
+                if size < SORT_WINDOWS:
                     continue
                 t = pa.Table.from_batches(held)
                 h = t["h"].to_numpy()
@@ -353,7 +389,7 @@ def _sort_rows(cuts: DataFrame, length: int) -> DataFrame:
                     yield settle(t.slice(0, edge))
                     rest = t.slice(edge).combine_chunks()
                     held = rest.to_batches()
-                    size = rest.num_rows * 150
+                    size = weight(rest)
         if held:
             yield settle(pa.Table.from_batches(held))
 
