@@ -290,3 +290,59 @@ def test_repeated_rows_and_null_keys(spark):
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
     found = decontam.contamination(frame(spark, rows), bench).collect()
     assert len(found) == 4 and sorted(len(r["items"]) for r in found) == [0, 1, 1, 1]
+
+
+def test_suffix_dedup_in_buckets(spark, rows, monkeypatch):
+    """An anchor group of more windows than a step, dealt over buckets: the same ranges as one sort."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    texts = [passage[rnd.randrange(60):] + "".join(rnd.choice("xyz ") for _ in range(rnd.randrange(90))) for _ in range(60)]
+    want = None
+    for step in (10 ** 9, 500, 40):
+        monkeypatch.setattr(suffix, "SORT_WINDOWS", step)
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+        at = np.concatenate([np.arange(a, b - 99) for a, b in zip(offsets, offsets[1:])])
+        hit = np.zeros(len(at), bool)
+        buckets = list(suffix._buckets(len(at), raw, 100, lambda i: (at[i], np.zeros(len(i), np.uint64))))
+        for index in buckets:
+            hit[index] = suffix.repeated_windows(raw, at[index], np.zeros(len(index), np.uint64), index, 100)
+        assert np.array_equal(np.sort(np.concatenate(buckets)), np.arange(len(at)))
+        want = hit if want is None else want
+        assert np.array_equal(hit, want) and hit.any()
+
+
+def plain_pattern_spans(text):
+    """The four patterns by the definition: leftmost matches of each kind, failing ones dropped."""
+    import re
+
+    out = []
+    for index, kind in enumerate(pii.KINDS):
+        for m in re.finditer(pii.PATTERNS[kind], text):
+            digits = [int(c) for c in m.group() if c.isdigit()]
+            luhn = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+            if {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else True,
+                    "card": 14 <= len(digits) <= 19 and luhn % 10 == 0, "phone": 10 <= len(digits) <= 15}[kind]:
+                out.append((m.start(), index, m.end()))
+    return out
+
+
+def test_personal_data_patterns_equal_the_definition():
+    rnd = random.Random(6)
+    bits = ["a", "b.c", "@", "x@y.z", "_", ".", "..", "1", "12", "255", "256", "007", "0000", "4111 1111 1111 1111", "-", " ", "+", "+49 ", "(0)", "é", "\n", "%", "30.4", "@@", ".com"]
+    for _ in range(4000):
+        text = "".join(rnd.choice(bits) for _ in range(rnd.randrange(14)))
+        assert pii.pattern_spans(text) == plain_pattern_spans(text)
+
+
+def test_personal_data_long_runs():
+    import time
+
+    before = time.time()
+    assert pii.pattern_spans("1.2.3." + "0" * 5000 + "7") == [(0, 1, 5007)]
+    assert pii.pattern_spans("9" * 200_000) == [] and pii.pattern_spans("a" * 200_000 + " x@y") == []
+    assert pii.pattern_spans("0" * 100_000 + ".1.1.1 " + "@" * 100_000) == [(0, 1, 100_006)]
+    assert time.time() - before < 20
