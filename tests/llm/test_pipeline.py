@@ -96,5 +96,21 @@ def test_rows_without_doc_id_are_judged_like_others(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, every, SF).filter("doc_id IS NOT NULL").select("doc_id").collect()} == same
 
 
+def test_rows_with_repeated_ids_keep_their_own_texts(spark):
+    """Different texts under one id, a null id beside the largest long, and a column of a name that a stage once used."""
+    docs = read(spark, SF, "documents")
+    texts = ["the first of two quite different texts that share one key, long enough to be judged by every stage of this pipeline here",
+             "eine ganz andere Geschichte von einem Haus am See und den Leuten, die dort im Sommer gewohnt und gekocht haben, vor langer Zeit"]
+    new = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (2 ** 63 - 1, texts[0] + " and then some more words that no other text of them all has had"), (None, None)],
+                                docs.select("doc_id", "text").schema)
+    rest = {f.name: F.lit(None).cast(f.dataType) for f in docs.schema if f.name not in ("doc_id", "text")}
+    every = written(docs.filter("doc_id <> 0").unionByName(new.withColumns(rest).select(docs.columns)).withColumn("_left", F.lit("x")), "repeated-ids")
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination):
+        out = stage(spark, every, SF)
+        assert out.dtypes == every.dtypes
+        assert sorted(r["text"] for r in out.filter("doc_id = 0").collect()) == sorted(texts)
+        assert out.filter(F.col("doc_id") == 2 ** 63 - 1).count() == 1
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
