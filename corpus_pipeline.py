@@ -5,14 +5,16 @@ predecessor kept; its result is written as Parquet and reread as the next
 stage's ``docs``.  All but the last return the columns of ``docs`` unchanged in
 name and order (``text`` and ``n_chars`` change where lines go).
 
-Rows are matched by ``doc_id``, which names a document; for the joins of a
-stage, each row with null ``doc_id`` gets a written key of its own after all
-others, and null again in the result.  Null and empty texts have no letter, so
-language ID rejects them.  Empty tables give empty results.
+Rows are matched by ``doc_id``.  Where ids are null or repeat, a stage works on
+written keys of its own, one per row in the order of the ids (null last), and
+the rows get their ids back: every row is judged and keeps its own text.  Null
+and empty texts have no letter, so language ID rejects them.  Empty tables give
+empty results.  Extra columns of any name are carried along.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -23,23 +25,24 @@ from lexis.llm import bpe, decontam, langid, lines, ngram_join
 from lexis.llm.common import read, written
 from lexis.llm.queries import rank_file
 
+# Generated names, so that no column of a table can clash with them.
+GIVEN_ID, LEFT_TEXT = f"given_id_{uuid.uuid4().hex}", f"left_text_{uuid.uuid4().hex}"
+
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
 def _every_row(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``stage`` with a key for the rows whose ``doc_id`` is null."""
+    """``stage`` over rows with unique keys in ``doc_id``; the given ids wait in a column of generated name."""
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        top, missing = docs.agg(F.max(F.col("doc_id").cast("long")), F.count_if(F.col("doc_id").isNull())).first()
-        if not missing:
+        if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
             return stage(spark, docs, sf_dir)
-        top = -1 if top is None else top
-        own = written(docs.filter("doc_id IS NULL").withColumn("doc_id", F.monotonically_increasing_id() + F.lit(top) + 1), "no-doc-id")
-        keyed = docs.filter("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).unionByName(own)
-        given = F.when(F.col("doc_id") <= top, F.col("doc_id")).cast(docs.schema["doc_id"].dataType)
-        return stage(spark, keyed, sf_dir).withColumn("doc_id", given)
+        # the text's hash in the order spreads the rows of one repeated id over the range partitions
+        ordered = docs.withColumn(GIVEN_ID, F.col("doc_id")).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), F.xxhash64("text"))
+        keyed = written(ordered.withColumn("doc_id", F.monotonically_increasing_id()), "row-keys")
+        return stage(spark, keyed, sf_dir).withColumn("doc_id", F.col(GIVEN_ID)).select(*docs.columns)
 
     return run
 
@@ -47,7 +50,7 @@ def _every_row(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Ca
 @_every_row
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those without letters or with a narrow margin go."""
-    learned = langid.learn(docs.filter(~langid.held_out()))
+    learned = langid.learn(docs.filter(~langid.held_out(GIVEN_ID if GIVEN_ID in docs.columns else "doc_id")))
     judged = langid.identify(docs, learned)
     return _only(docs, judged.filter("NOT rejected"))
 
@@ -55,9 +58,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_every_row
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; documents whose every judged line is a repeat go whole."""
-    left = lines.deduplicated(docs).filter("NOT only_copies").select("doc_id", F.col("text").alias("_left")).dropDuplicates(["doc_id"])
+    left = lines.deduplicated(docs).filter("NOT only_copies").select("doc_id", F.col("text").alias(LEFT_TEXT))
     cut = docs.join(left, "doc_id")
-    new = {"text": F.col("_left").alias("text"), "n_chars": F.length("_left").cast("long").alias("n_chars")}
+    new = {"text": F.col(LEFT_TEXT).alias("text"), "n_chars": F.length(LEFT_TEXT).cast("long").alias("n_chars")}
     return cut.select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 

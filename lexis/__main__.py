@@ -43,9 +43,11 @@ def _estimator(model: str):
         return logistic
     if model == "dense":
         return T.dense_grid
+    if model == "centroid":
+        return T.centroid_grid
     if model == "xgb_val":
         return T.validated_trees
-    raise SystemExit(f"unknown model {model!r} (svm, svm_rbf, xgb, xgb_val, dense, logistic)")
+    raise SystemExit(f"unknown model {model!r} (svm, svm_rbf, xgb, xgb_val, dense, centroid, logistic)")
 
 
 def cmd_prepare(spark: SparkSession, a) -> None:

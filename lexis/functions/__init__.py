@@ -10,6 +10,7 @@ from lexis.functions.text import (
     pad_front,
     space_word_count,
     strip_redactions,
+    treebank_tokens,
     word_punct_tokens,
     word_tokens,
 )
@@ -18,6 +19,6 @@ __all__ = [
     "argmax", "hex_int", "l2_normalize", "one_hot", "seeded_key", "unit_interval",
     "run_name", "split_model_name",
     "MIN_TOKEN_LENGTH", "REDACTION_PATTERN", "TOKEN_PATTERN", "WORD_PUNCT_PATTERN",
-    "encode_fixed", "join_tokens", "pad_front", "space_word_count", "strip_redactions",
+    "encode_fixed", "join_tokens", "pad_front", "space_word_count", "strip_redactions", "treebank_tokens",
     "word_punct_tokens", "word_tokens",
 ]

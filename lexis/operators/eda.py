@@ -111,13 +111,13 @@ def length_cumulative_share(df: DataFrame, len_col: str = "n_words",
 
 
 def sample_vocabulary(df: DataFrame, text_col: str = "text", frac: float = VOCAB_SAMPLE_RATE,
-                      seed: str = "42") -> DataFrame:
-    """Distinct word/punctuation tokens of an exact ``frac`` sample of the texts.
+                      seed: str = "42", tokenizer=word_punct_tokens) -> DataFrame:
+    """Distinct tokens of an exact ``frac`` sample of the texts (``tokenizer``: ``word_punct_tokens`` or ``treebank_tokens``).
 
     The reference joins the sampled texts into one string before
     tokenizing; here each text is tokenized where it lies and the sets are
     unioned by ``distinct`` (one shuffle of distinct words).
     """
     sampled = exact_sample(df, frac, seed=seed)
-    words = sampled.select(F.explode_outer(word_punct_tokens(text_col)).alias("word"))
+    words = sampled.select(F.explode_outer(tokenizer(text_col)).alias("word"))
     return words.filter(F.col("word").isNotNull()).distinct()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.ml import Model
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexis.functions.arrays import argmax
@@ -78,6 +80,40 @@ def _collected(coefficients: DataFrame) -> tuple[list[int], list[list[float]], l
     return classes, [[at.get((c, d), 0.0) for d in range(dim)] for c in classes], [at.get((c, -1), 0.0) for c in classes]
 
 
+class LinearClassifier(Model):
+    """A linear model over a coefficient table; ``transform`` adds ``prediction`` (the first class of highest score)."""
+
+    def __init__(self, classes: list[int], weights: list[list[float]], intercepts: list[float], vec_col: str):
+        super().__init__()
+        self.classes, self.weights, self.intercepts, self.vec_col = classes, weights, intercepts, vec_col
+
+    def coefficients(self, spark) -> DataFrame:
+        rows = [(c, d, float(w)) for c, row in zip(self.classes, self.weights) for d, w in enumerate(row)]
+        return spark.createDataFrame(rows + [(c, -1, float(b)) for c, b in zip(self.classes, self.intercepts)], COEFFICIENTS)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        scored = linear_scores(dataset.withColumn("_linear_vec", F.col(self.vec_col)), self.weights, "_linear_vec", self.intercepts)
+        labels = F.array(*[F.lit(float(c)) for c in self.classes])
+        return scored.withColumn("prediction", labels[F.col("y_pred")]).drop("_linear_vec", "scores", "y_pred")
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        self.coefficients(spark).write.mode("overwrite").parquet(f"{path}/coefficients")
+        meta = {"class": f"{type(self).__module__}.{type(self).__name__}", "vec_col": self.vec_col}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+    @staticmethod
+    def load(path: str) -> "LinearClassifier":
+        spark = SparkSession.getActiveSession()
+        meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
+        return LinearClassifier(*_collected(spark.read.parquet(f"{path}/coefficients")), meta["vec_col"])
+
+
+def centroid_classifier(doc_vecs: DataFrame, label_col: str = "label", vec_col: str = "vec") -> LinearClassifier:
+    """``fit_centroids`` as a model that predicts, saves and loads."""
+    return LinearClassifier(*_collected(fit_centroids(doc_vecs, label_col, vec_col)), vec_col)
+
+
 def token_contributions(tokens: DataFrame, vectors: DataFrame, coefficients: DataFrame, tokens_col: str = "tokens", doc_col: str = "doc_id",
                         true_col: str = "code", broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """``doc_id, pos, word, weight, y_true, y_pred, score`` of every known token, exact for a linear model over mean vectors.

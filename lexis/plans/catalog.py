@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.functions.text import join_tokens, word_tokens
+from lexis.functions.text import BLANKS, TREEBANK_RULES, join_tokens, treebank_tokens, word_tokens
 from lexis.operators import analysis as X
 from lexis.operators import eda as A
 from lexis.operators import evaluate as V
@@ -151,6 +151,31 @@ def q_sample_vocabulary(spark, sf):
     return A.sample_vocabulary(fx.corpus(spark, sf), seed=SAMPLE_SEED)
 
 
+def _treebank_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = "' ' || text || ' '"
+    for pattern, replacement in TREEBANK_RULES:
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(replacement.replace('$', chr(92)))}, 'g')"
+    return f"list_filter(regexp_split_to_array({out}, {quoted(BLANKS)}), lambda t: t <> '')"
+
+
+@register("sample_vocabulary_treebank", sql(CORPUS_SQL, """
+samp AS (SELECT * FROM corpus
+         QUALIFY row_number() OVER (ORDER BY md5('42-' || doc_id))
+                 <= (SELECT round_even(0.025::DOUBLE * count(*), 0) FROM corpus))""", body=f"SELECT DISTINCT unnest({_treebank_sql()}) AS word FROM samp"))
+def q_sample_vocabulary_treebank(spark, sf):
+    """T6 with the contraction-aware tokenizer."""
+    return A.sample_vocabulary(fx.corpus(spark, sf), seed=SAMPLE_SEED, tokenizer=treebank_tokens)
+
+
+@register("treebank_token_counts", sql(CORPUS_SQL, f"t AS (SELECT doc_id, {_treebank_sql()} AS t FROM corpus)", body="""
+SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM t"""))
+def q_treebank_token_counts(spark, sf):
+    """The contraction-aware tokens of every document, as count and digest."""
+    docs = fx.corpus(spark, sf).select("doc_id", treebank_tokens("text").alias("t"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
 # =============================================================== prepare
 SAMPLE_SQL = """
 samp AS (SELECT * FROM corpus

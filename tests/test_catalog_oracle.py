@@ -17,7 +17,7 @@ SKIP = os.environ.get("LEXIS_SKIP_ORACLE") == "1"
 
 def test_contract_shapes():
     """The catalogue's own registry: all but the trained models have SQL (other subpackages test theirs)."""
-    from lexis.plans import catalog, stores, trained  # noqa: F401  (they register their queries)
+    from lexis.plans import catalog, end_to_end, stores, trained  # noqa: F401  (they register their queries)
 
     assert set(ORACLE) <= set(QUERIES)
     assert set(catalog.QUERIES) <= set(QUERIES) and len(catalog.QUERIES) >= 54
