@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexis.session import written
+
 # A side is broadcast only if it provably has at most this many rows.
 DEFAULT_BROADCAST_ROWS = 200_000
 
@@ -27,16 +29,19 @@ DEFAULT_BROADCAST_BYTES = 256 << 20
 
 def bounded_broadcast_bytes(df: DataFrame, row_bytes: int,
                             max_bytes: int = DEFAULT_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` when ``rows * row_bytes <= max_bytes`` (rows counted, capped).
-
-    Returns ``(df_or_broadcast, broadcast?)``.  Used for word-vector tables
-    joined to every token: broadcasting them removes the token shuffle and
-    with it the hot-word skew.  Beyond the budget the join is a sort-merge
-    join whose skewed word partitions AQE splits at run time.
+    """Broadcast ``df`` when its rows take at most ``max_bytes``: ``row_bytes`` each, and the bytes of its strings.
+
+    ``df`` is written once; the size is measured on what was written, and the
+    join reads the same table.  Returns ``(table_or_broadcast, broadcast?)``.
+    Used for word-vector tables joined to every token: broadcasting them
+    removes the token shuffle and with it the hot-word skew.  Beyond the budget
+    the join is a sort-merge join whose skewed word partitions AQE splits at run
+    time.
     """
-    cap = max(max_bytes // max(row_bytes, 1), 1)
-    n = df.limit(cap + 1).count()
-    return (F.broadcast(df), True) if n <= cap else (df, False)
+    side = written(df, "join-side")
+    strings = [F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    size = side.agg(sum(strings, F.count(F.lit(1)) * row_bytes).alias("b")).collect()[0]["b"]
+    return (F.broadcast(side), True) if size <= max_bytes else (side, False)
 
 
 def hot_keys(df: DataFrame, key: str, top: int = 256, sample_frac: float = 0.01,

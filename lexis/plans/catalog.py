@@ -200,9 +200,14 @@ def q_drop_null_rows(spark, sf):
     return P.drop_null_rows(joined).select("doc_id", "label", "quality", "toxic")
 
 
+def _keys(spark, sf) -> DataFrame:
+    """``doc_id, label`` of the corpus, written: thresholds are found on it, the text is scanned once for the selection."""
+    return written(fx.corpus(spark, sf).select("doc_id", "label"), "keys")
+
+
 @register("exact_sample", sql(CORPUS_SQL, SAMPLE_SQL, body="SELECT doc_id, label FROM samp"))
 def q_exact_sample(spark, sf):
-    return exact_sample(fx.corpus(spark, sf), P.SAMPLE_RATE, seed=SAMPLE_SEED).select("doc_id", "label")
+    return exact_sample(fx.corpus(spark, sf), P.SAMPLE_RATE, seed=SAMPLE_SEED, basis=_keys(spark, sf)).select("doc_id", "label")
 
 
 @register("label_codes", sql(CORPUS_SQL, SAMPLE_SQL, body="""
@@ -226,7 +231,7 @@ def q_one_hot_labels(spark, sf):
 
 @register("undersample_class", sql(CORPUS_SQL, UNDER_SQL, body="SELECT doc_id, label FROM under"))
 def q_undersample_class(spark, sf):
-    u = P.undersample(fx.corpus(spark, sf), UNDERSAMPLE_TARGET, P.UNDERSAMPLE_FACTOR, seed=UNDERSAMPLE_SEED)
+    u = P.undersample(fx.corpus(spark, sf), UNDERSAMPLE_TARGET, P.UNDERSAMPLE_FACTOR, seed=UNDERSAMPLE_SEED, basis=_keys(spark, sf))
     return u.select("doc_id", "label")
 
 
@@ -236,8 +241,9 @@ SELECT doc_id, label,
                  <= (SELECT ceil(0.1::DOUBLE * count(*)) FROM under) THEN 'test' ELSE 'train' END AS split
 FROM under"""))
 def q_train_test_split(spark, sf):
-    u = P.undersample(fx.corpus(spark, sf), UNDERSAMPLE_TARGET, P.UNDERSAMPLE_FACTOR, seed=UNDERSAMPLE_SEED)
-    return P.train_test_split(u, P.TEST_SIZE, seed=SPLIT_SEED).select("doc_id", "label", "split")
+    keys = _keys(spark, sf)
+    small = lambda df: P.undersample(df, UNDERSAMPLE_TARGET, P.UNDERSAMPLE_FACTOR, seed=UNDERSAMPLE_SEED, basis=keys)
+    return P.train_test_split(small(fx.corpus(spark, sf)), P.TEST_SIZE, seed=SPLIT_SEED, basis=small(keys)).select("doc_id", "label", "split")
 
 
 @register("class_counts", sql(CORPUS_SQL, UNDER_SQL, body="""
@@ -284,7 +290,7 @@ vocab AS (SELECT (row_number() OVER (ORDER BY n DESC, fs))::INTEGER AS idx, word
 
 
 def _train_vocab(spark, sf) -> DataFrame:
-    split = P.train_test_split(fx.corpus(spark, sf), P.TEST_SIZE, seed=SPLIT_SEED)
+    split = P.train_test_split(fx.corpus(spark, sf), P.TEST_SIZE, seed=SPLIT_SEED, basis=_keys(spark, sf))
     train = split.filter(F.col("split") == "train").select("doc_id", "text")
     return S.fit_vocabulary(train.select("doc_id", word_tokens("text").alias("tokens")), MAX_WORDS)
 
@@ -595,9 +601,9 @@ top AS (SELECT y_pred, y_true, (row_number() OVER (PARTITION BY y_pred, y_true O
         QUALIFY row_number() OVER (PARTITION BY y_pred, y_true ORDER BY n DESC, fs) <= 15)"""
 
 
-def _top_words(spark, sf) -> DataFrame:
+def _top_words(spark, sf, preds: DataFrame | None = None) -> DataFrame:
     # join the predictions per document (one row each), then explode the tokens
-    docs = fx.tokens(spark, sf).join(_run_preds(spark, sf), "doc_id")
+    docs = fx.tokens(spark, sf).join(_run_preds(spark, sf) if preds is None else preds, "doc_id")
     ex = X.explode_tokens(docs, ["doc_id", "y_pred", "y_true"])
     return X.top_words(ex, ["y_pred", "y_true"], TOP_N_WORDS)
 
@@ -619,7 +625,11 @@ SELECT coalesce(inc.rank, cor.rank) AS rank, inc.word AS incorrect_word, inc.n A
        cor.word AS correct_word, cor.n AS correct_n
 FROM inc FULL OUTER JOIN cor ON inc.rank = cor.rank"""))
 def q_compare_classes(spark, sf):
-    named = _decode_pair(_top_words(spark, sf), _names(spark, sf))
+    # the two pairs are picked from the predictions, so only their documents are tokenized
+    names = _names(spark, sf)
+    code = {r["label"]: r["code"] for r in names.collect()}  # k rows
+    preds = _run_preds(spark, sf).filter((F.col("y_true") == code.get(CMP_TRUE, -1)) & F.col("y_pred").isin(code.get(CMP_PRED, -1), code.get(CMP_TRUE, -1)))
+    named = _decode_pair(_top_words(spark, sf, preds), names)
     inc = named.filter((F.col("pred_class") == CMP_PRED) & (F.col("true_class") == CMP_TRUE))
     cor = named.filter((F.col("pred_class") == CMP_TRUE) & (F.col("true_class") == CMP_TRUE))
     return X.compare_classes(inc, cor)

@@ -19,7 +19,7 @@ from lexis.plans.catalog import (EVAL_CTES, REPORT_SQL, SPLIT_SEED, _conf, _name
                                  _results, _run_preds, PARAMS_EXPR_SQL, RUN_PREDS_SQL, r6, register)
 from lexis.operators.analysis import class_filter
 from lexis.plans.fixtures import CORPUS_SQL, PREDICTIONS_SQL, WORD_VECTORS_SQL, sql
-from lexis.session import ensure_checkpoint_dir
+from lexis.session import ensure_checkpoint_dir, written
 from lexis.sinks import writers as K
 from lexis.sources import stored as S
 from lexis.sources.corpus import read_corpus_csv
@@ -86,13 +86,13 @@ VECTORS_QUERY = sql(CORPUS_SQL, WORD_VECTORS_SQL, body="SELECT word, array_to_st
 
 @register("text_vectors_round_trip", VECTORS_QUERY)
 def q_text_vectors(spark, sf):
-    """S2 + S3 + S6: word vectors as text with a ``count dim`` header and an earlier duplicate of every word."""
+    """S2 + S3 + S6: word vectors as text with an earlier duplicate of every word."""
     base = _folder(spark, "text-vectors")
     vecs = fx.word_vectors(spark, sf, fx.WORD_VEC_DIM)
     line = F.concat_ws(" ", "word", F.array_join(F.transform("vec", lambda x: x.cast("string")), " "))
-    # the header sorts first: one file per write, the duplicates in an earlier file
-    vecs.select(F.concat_ws(" ", "word", F.array_join(F.array_repeat(F.lit("99"), fx.WORD_VEC_DIM), " "))).coalesce(1).write.text(f"{base}/part=0")
-    vecs.select(line).coalesce(1).write.text(f"{base}/part=1")
+    # the duplicates are in files that come earlier
+    vecs.select(F.concat_ws(" ", "word", F.array_join(F.array_repeat(F.lit("99"), fx.WORD_VEC_DIM), " "))).write.text(f"{base}/part=0")
+    vecs.select(line).write.text(f"{base}/part=1")
     loader = embedding_registry({"fasttext": f"{base}/part=*"})["fasttext"]
     return _components_text(loader(spark))
 
@@ -122,7 +122,7 @@ SELECT model_name, class, round(precision, 6) AS precision, round(recall, 6) AS
 def q_report_files(spark, sf):
     """K4 + S10: every run's report file written and read in one scan."""
     base = _folder(spark, "reports")
-    conf = _conf(spark, sf).cache()
+    conf = written(_conf(spark, sf), "confusion")
     for run, _ in fx.RUNS:
         K.write_report(V.classification_report(conf.filter(F.col("model_name") == run).drop("model_name"), _names(spark, sf)), base, run)
     return S.read_reports(spark, base).filter(F.col("class").isin(fx.class_names(spark, sf))).select(
@@ -134,7 +134,7 @@ def q_matrix_files(spark, sf):
     """K5 + S11: every run's dense matrix file written and read as long rows."""
     base = _folder(spark, "matrices")
     k = len(fx.class_names(spark, sf))
-    conf = _conf(spark, sf).cache()
+    conf = written(_conf(spark, sf), "confusion")
     for run, _ in fx.RUNS:
         K.write_conf_matrix(conf.filter(F.col("model_name") == run).drop("model_name"), base, run, k)
     return S.read_conf_matrices(spark, base, k)
