@@ -273,14 +273,17 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def _map(df: DataFrame, path: str, schema: str, fields: pa.Schema, make) -> DataFrame:
     def run(batches):
         enc = encoder(path)
-        for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
-            keys = batch.column("doc_id")
-            for lo, hi in row_chunks(offsets):
-                part = raw[offsets[lo]:offsets[hi]]
-                rows = [make(enc, *row) for row in enc.rows(part, offsets[lo:hi + 1] - offsets[lo])]
-                columns = [keys.slice(lo, hi - lo), *map(list, zip(*rows))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, fields)], schema=fields)
+        try:
+            for batch in batches:
+                raw, offsets = utf8(batch.column("text"))
+                keys = batch.column("doc_id")
+                for lo, hi in row_chunks(offsets):
+                    part = raw[offsets[lo]:offsets[hi]]
+                    rows = [make(enc, *row) for row in enc.rows(part, offsets[lo:hi + 1] - offsets[lo])]
+                    columns = [keys.slice(lo, hi - lo), *map(list, zip(*rows))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, fields)], schema=fields)
+        finally:
+            enc.cache.clear()  # an idle worker, kept for other stages, holds no pieces
 
     return documents(df).mapInArrow(run, schema)
 
