@@ -7,30 +7,47 @@ tokens of target loss minus background loss, in bits: the lower, the closer to
 the target.
 
 Tokens are runs of ASCII digits, ASCII letters (lower-cased) and characters
-beyond ASCII.  The vocabulary holds the words that make up at least
-``1 / max_words`` of all tokens of all texts, which bounds it to ``max_words``
-and the models to its square, with no choice among ties; other words are one
-unknown word, and a start mark precedes each text.  All counts cover all texts.
+beyond ASCII.  The vocabulary is every word of all texts, so it and the models
+grow with the corpus; a start mark precedes each text.  All counts cover all
+texts.
+
+The models are never in one place.  Texts are read once, into blocks of some
+megabytes with the block's own word list; a block sends one entry for each of
+its distinct words and word pairs, dealt by hash into buckets of bounded size,
+a bucket adds up its entries and answers each block, and a block scores its
+texts with the answers.  An entry is a pre-aggregated count, so a word that
+makes up a third of all tokens is one entry a block.  Texts are never shuffled.
+
+Words and pairs are told apart by 64-bit hashes; two that share one share their
+counts.
 
 Defined cases: null, empty and wordless texts have no tokens and null losses;
 without target texts the target model is the smoothed uniform one; keys of the
-target table that name no text, or repeat, do not matter.  Other columns are
+target table that name no text, or repeat, do not matter; texts with equal keys
+are in the target together, those with a null key never.  Other columns are
 ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexis.llm.common import class_table, documents, lower_ascii, mix, prefix_hash, range_hash, row_chunks, signed, utf8, word_bounds
+from lexis.llm.common import class_table, documents, lower_ascii, mix, prefix_hash, range_hash, row_chunks, signed, utf8, word_bounds, written
 
-MAX_WORDS = 2000
 SMOOTHING = 50.0
+BLOCK_BYTES = 4 << 20
+"""Text bytes of a block; a longer single text is its own block."""
+BUCKET_ENTRIES = 1 << 20
+"""Words and pairs that a bucket holds on average."""
 BETWEEN = class_table(*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80))
-_TOTAL = 0  # key of the row that carries the number of tokens
+_START = np.uint64(2)  # word hashes are odd
+_STATS = -1  # block number of the rows that carry a bucket's totals
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,105 +57,176 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(range_hash(prefix_hash(raw), starts, ends) + (ends - starts).astype(np.uint64)) | np.uint64(1), edge
 
 
-def vocabulary(docs: DataFrame, max_words: int = MAX_WORDS) -> np.ndarray:
-    """Sorted hashes of the words with at least 1 / max_words of all tokens."""
-    def run(batches):
-        for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
-            parts = [word_hashes(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])[0] for a, b in row_chunks(offsets)]
-            words, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[signed(words), _TOTAL]), pa.array(np.r_[counts, counts.sum()])], names=["h", "n"])
-
-    rows = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(max_words + 1).collect()
-    total = next((r["n"] for r in rows if r["h"] == _TOTAL), 0)
-    return np.sort(np.array([r["h"] for r in rows if r["h"] != _TOTAL and r["n"] * max_words >= total], np.int64).view(np.uint64))
-
+def _lists(parts: list[np.ndarray], dtype: type) -> pa.ListArray:
+    offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype), *parts]).astype(dtype)))
 
-def _token_ids(words: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """Ids 0.. of known words, len(vocab) for the unknown word."""
-    if not len(vocab):
-        return np.zeros(len(words), np.int64)
-    at = np.minimum(np.searchsorted(vocab, words), len(vocab) - 1)
-    return np.where(vocab[at] == words, at, len(vocab))
 
+def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column one after another, and the length of each list."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
 
-def _pairs(raw: np.ndarray, offsets: np.ndarray, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code (previous * width + word) of every token, and the first token of each text."""
-    words, edge = word_hashes(raw, offsets)
-    ids = _token_ids(words, vocab)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[edge[:-1][np.diff(edge) > 0]] = len(vocab) + 1
-    return before * (len(vocab) + 2) + ids, edge
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """``block, doc_ids, lengths, words, tokens``: texts as places in their block's sorted word list.
 
-def bigram_counts(docs: DataFrame, target: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dense (width x width) counts over the target texts and over all texts."""
-    width = len(vocab) + 2
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
-
+    Block numbers come from the writing task, so the result must be written once and read from there.
+    """
     def run(batches):
-        vocab = shared.value
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
-            chosen = batch.column("is_target").to_numpy(zero_copy_only=False)
-            codes, wanted = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-            for a, b in row_chunks(offsets):
-                code, edge = _pairs(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], vocab)
-                codes.append(code)
-                wanted.append(np.repeat(chosen[a:b], np.diff(edge)))
-            code, inverse, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-            hits = np.bincount(inverse, np.concatenate(wanted), minlength=len(code)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(hits), pa.array(n)], names=["code", "target", "every"])
-
-    flags = target.select(F.col(target.columns[0]).cast("long").alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
-    # shuffled by key whatever the number of targets: one plan at every size
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = docs.repartition(parts, "doc_id").join(flags, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    sums = marked.mapInArrow(run, "code long, target long, every long").groupBy("code").agg(F.sum("target").alias("target"), F.sum("every").alias("every"))
-    found = sums.toPandas()  # at most width * width rows
-    out = np.zeros((2, width * width))
-    out[:, found["code"].to_numpy(np.int64)] = found[["target", "every"]].to_numpy(float).T
-    return out[0].reshape(width, width), out[1].reshape(width, width)
-
-
-def losses(counts: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Bits of each word after each word: bigrams smoothed by unigrams, unigrams by one count a word."""
-    width = len(counts)
-    single = counts.sum(0)
-    single = (single + 1) / (single.sum() + width)
-    return -np.log2((counts + smoothing * single) / (counts.sum(1, keepdims=True) + smoothing))
-
-
-def models(docs: DataFrame, target: DataFrame, max_words: int = MAX_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vocabulary, target losses, background losses); ``target``'s first column holds text keys."""
-    vocab = vocabulary(docs, max_words)
-    chosen, every = bigram_counts(docs, target, vocab)
-    if every.sum():
-        every *= max(chosen.sum(), 1) / every.sum()
-    return vocab, losses(chosen), losses(every)
-
-
-def score(docs: DataFrame, vocab: np.ndarray, target: np.ndarray, background: np.ndarray) -> DataFrame:
-    """``doc_id, n_tokens, loss_target, loss_background, score`` (mean bits a token)."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, target.ravel(), background.ravel()))  # bounded by max_words
-
-    def run(batches):
-        vocab, own, general = shared.value
+            for a, b in row_chunks(offsets, BLOCK_BYTES):
+                hashes, lengths = [np.zeros(0, np.uint64)], []
+                for c, d in row_chunks(offsets[a:b + 1]):
+                    found, edge = word_hashes(raw[offsets[a + c]:offsets[a + d]], offsets[a + c:a + d + 1] - offsets[a + c])
+                    hashes.append(found)
+                    lengths.append(np.diff(edge))
+                words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+                ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column("doc_id").slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, _lists([np.concatenate(lengths)], np.int32), _lists([signed(words)], np.int64), _lists([tokens], np.int32)],
+                                                 names=["block", "doc_ids", "lengths", "words", "tokens"])
+                number += 1
+
+    return docs.mapInArrow(run, "block long, doc_ids array<long>, lengths array<int>, words array<long>, tokens array<int>")
+
+
+class Block:
+    """Words and word pairs of one block, each in the order of the buckets."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, buckets: int):
+        self.keys = np.r_[words.view(np.uint64), _START]
+        self.width = len(self.keys)
+        self.current = tokens.astype(np.int64)
+        self.previous = np.r_[self.width - 1, self.current[:-1]][:len(tokens)]
+        self.row = np.repeat(np.arange(len(lengths)), lengths)
+        self.previous[np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1]][:len(self.row)])] = self.width - 1
+        self.codes, self.pair = np.unique(self.previous * self.width + self.current, return_inverse=True)
+        pairs = mix(mix(self.keys[self.codes // self.width]) + self.keys[self.codes % self.width])
+        self.word_order, self.word_bucket = self._dealt(mix(self.keys), buckets)
+        self.pair_order, self.pair_bucket = self._dealt(pairs, buckets)
+        self.word_keys, self.pair_keys = self.keys[self.word_order], pairs[self.pair_order]
+
+    @staticmethod
+    def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+    def counts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words (as a word and as a context, each in all texts and in the chosen ones) and of pairs (all, chosen)."""
+        weight = chosen[self.row].astype(float)
+
+        def both(at: np.ndarray, size: int) -> list[np.ndarray]:
+            return [np.bincount(at, minlength=size), np.bincount(at, weight, minlength=size)]
+
+        words = np.array(both(self.current, self.width) + both(self.previous, self.width), np.int64)
+        return words[:, self.word_order], np.array(both(self.pair, len(self.codes)), np.int64)[:, self.pair_order]
+
+
+def _entries(marked: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, block, words, word_counts, pairs, pair_counts``: what each block knows of each bucket's keys."""
+    def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
-            for a, b in row_chunks(offsets):
-                code, edge = _pairs(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], vocab)
-                n = np.diff(edge)
-                row = np.repeat(np.arange(len(n)), n)
-                means = [np.bincount(row, table[code], minlength=len(n)) / np.maximum(n, 1) for table in (own, general)]
-                columns = [pa.array(x, mask=n == 0) for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n), *columns],
-                                                 names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
-
-
-def cross_entropy_difference(df: DataFrame, target: DataFrame, max_words: int = MAX_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    docs = documents(df, id_col, text_col)
-    return score(docs, *models(docs, target, max_words))
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                (words, _), (tokens, _), (lengths, _) = (_flat(one.column(c)) for c in ("words", "tokens", "lengths"))
+                if not len(tokens):
+                    continue
+                block = Block(words, tokens, lengths, buckets)
+                chosen = np.zeros(len(lengths), bool)
+                chosen[_flat(one.column("chosen"))[0].astype(np.int64)] = True
+                word_counts, pair_counts = block.counts(chosen)
+                hit = np.union1d(block.word_bucket, block.pair_bucket)
+                w = np.searchsorted(block.word_bucket, np.r_[hit, buckets])
+                p = np.searchsorted(block.pair_bucket, np.r_[hit, buckets])
+                w_cuts, p_cuts = list(zip(w[:-1], w[1:])), list(zip(p[:-1], p[1:]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(hit), pa.array(np.full(len(hit), one.column("block")[0].as_py())),
+                    _lists([signed(block.word_keys[a:b]) for a, b in w_cuts], np.int64), _lists([word_counts[:, a:b].ravel() for a, b in w_cuts], np.int64),
+                    _lists([signed(block.pair_keys[a:b]) for a, b in p_cuts], np.int64), _lists([pair_counts[:, a:b].ravel() for a, b in p_cuts], np.int64)],
+                    names=["bucket", "block", "words", "word_counts", "pairs", "pair_counts"])
+
+    return marked.mapInArrow(run, "bucket long, block long, words array<long>, word_counts array<long>, pairs array<long>, pair_counts array<long>")
+
+
+def _totals(table: pa.Table, keys: str, counts: str, kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per row the summed counts (kind by kind) of its keys, and the sums of every distinct key."""
+    key, sizes = _flat(table.column(keys))
+    distinct, at = np.unique(key, return_inverse=True)
+    edges, given = np.r_[0, np.cumsum(sizes)], _flat(table.column(counts))[0]
+    sums = np.zeros((kinds, len(distinct)), np.int64)
+    for a, b in zip(edges[:-1], edges[1:]):  # a row's keys may share a hash, so add.at and not plain indexing
+        for kind in range(kinds):
+            np.add.at(sums[kind], at[a:b], given[kinds * a + kind * (b - a):kinds * a + (kind + 1) * (b - a)])
+    return [sums[:, at[a:b]].ravel() for a, b in zip(edges[:-1], edges[1:])], sums
+
+
+def _answers(entries: DataFrame) -> DataFrame:
+    """``block, bucket, words, pairs``: corpus counts of every block's keys, and a row of totals a bucket."""
+    def add(table: pa.Table) -> pa.Table:
+        words, sums = _totals(table, "words", "word_counts", 4)
+        pairs, _ = _totals(table, "pairs", "pair_counts", 2)
+        totals = np.array([(sums[0] > 0).sum(), sums[0].sum(), sums[1].sum()], np.int64)
+        block = np.r_[_flat_numbers(table, "block"), _STATS]
+        bucket = _flat_numbers(table, "bucket")
+        return pa.table({"block": pa.array(block), "bucket": pa.array(np.r_[bucket, bucket[:1]]), "words": _lists([*words, totals], np.int64), "pairs": _lists([*pairs, totals[:0]], np.int64)})
+
+    return entries.groupBy("bucket").applyInArrow(add, "block long, bucket long, words array<long>, pairs array<long>")
+
+
+def _flat_numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def _mean_losses(block: Block, lengths: np.ndarray, answers: pa.Table, totals: tuple[int, int, int], smoothing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean bits a token of every text under the target and under the background model."""
+    order = np.argsort(_flat_numbers(answers, "bucket"), kind="stable")
+    answers = answers.take(pa.array(order))
+
+    def gathered(name: str, kinds: int, places: np.ndarray) -> np.ndarray:
+        values, sizes = _flat(answers.column(name))
+        edges = np.r_[0, np.cumsum(sizes)]
+        out = np.empty((kinds, len(places)))
+        out[:, places] = np.concatenate([values[a:b].reshape(kinds, -1) for a, b in zip(edges[:-1], edges[1:])], axis=1)
+        return out
+
+    word, context = np.split(gathered("words", 4, block.word_order), 2)
+    pair = gathered("pairs", 2, block.pair_order)
+    size, every, target = totals
+    scale = max(target, 1) / every
+    before, after = block.codes // block.width, block.codes % block.width
+    means = []
+    for kind, factor, mass in ((1, 1.0, target), (0, scale, every * scale)):
+        single = (word[kind] * factor + 1) / (mass + size + 2)
+        loss = -np.log2((pair[kind] * factor + smoothing * single[after]) / (context[kind][before] * factor + smoothing))
+        means.append(np.bincount(block.row, loss[block.pair], minlength=len(lengths)) / np.maximum(lengths, 1))
+    return means[0], means[1]
+
+
+def cross_entropy_difference(df: DataFrame, target: DataFrame, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, loss_target, loss_background, score`` (mean bits a token); ``target``'s first column holds text keys."""
+    cut = written(blocks(documents(df, id_col, text_col)), "lm-blocks")
+    size = cut.agg(F.sum(F.size("words") + F.size("tokens")).alias("n")).first()["n"] or 0
+    buckets = -(-size // BUCKET_ENTRIES) or 1
+
+    keys = target.select(F.col(target.columns[0]).cast("long").alias("doc_id")).distinct()
+    places = cut.select("block", F.posexplode("doc_ids").alias("place", "doc_id")).join(keys, "doc_id", "left_semi")
+    chosen = places.groupBy("block").agg(F.collect_list("place").alias("chosen"))  # at most the texts of a block
+    marked = cut.join(chosen, "block", "left").select("block", "words", "tokens", "lengths", F.coalesce("chosen", F.array().cast("array<int>")).alias("chosen"))
+    answers = written(_answers(_entries(marked, buckets)), "lm-answers")
+    sums = answers.filter(F.col("block") == _STATS).agg(*[F.sum(F.col("words")[i]) for i in range(3)]).first()
+    totals = tuple(int(x or 0) for x in sums)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        (ids, _), (lengths, _), (words, _), (tokens, _) = (_flat(left.column(c)) for c in ("doc_ids", "lengths", "words", "tokens"))
+        ids = left.column("doc_ids").combine_chunks().flatten()
+        means = [np.zeros(len(lengths))] * 2
+        if len(tokens):
+            means = _mean_losses(Block(words, tokens, lengths, buckets), lengths, right, totals, smoothing)
+        columns = [pa.array(x, mask=lengths == 0) for x in (*means, means[0] - means[1])]
+        return pa.table([ids, pa.array(lengths.astype(np.int64)), *columns], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+
+    parts = answers.filter(F.col("block") != _STATS).groupBy("block")
+    return cut.groupBy("block").cogroup(parts).applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -49,12 +49,10 @@ FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id) WHERE d.d
 CROSS_ENTROPY = f"""
 WITH d AS (SELECT doc_id, {_words(_low("text"), _BETWEEN)} AS w FROM documents),
 t AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
-vocab AS (SELECT w FROM t GROUP BY w HAVING count(*) * 2000 >= (SELECT count(*) FROM t)),
-x AS (SELECT t.doc_id, t.i, CASE WHEN v.w IS NULL THEN '' ELSE t.w END AS w FROM t LEFT JOIN vocab v ON v.w = t.w),
-p AS (SELECT doc_id, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '<s>') AS a, w AS b FROM x),
+p AS (SELECT doc_id, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '<s>') AS a, w AS b FROM t),
 g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
 n AS (SELECT a, b, count(*)::DOUBLE AS every, count(g.doc_id)::DOUBLE AS target FROM p LEFT JOIN g USING (doc_id) GROUP BY a, b),
-z AS (SELECT greatest(sum(target), 1) / sum(every) AS f, (SELECT count(*) + 2 FROM vocab) AS width FROM n),
+z AS (SELECT greatest(sum(target), 1) / sum(every) AS f, (SELECT count(DISTINCT w) + 2 FROM t) AS width FROM n),
 m AS (SELECT a, b, target AS t, every * f AS e FROM n, z),
 single AS (SELECT b, (sum(t) + 1) / ((SELECT sum(t) FROM m) + (SELECT width FROM z)) AS t,
                   (sum(e) + 1) / ((SELECT sum(e) FROM m) + (SELECT width FROM z)) AS e FROM m GROUP BY b),

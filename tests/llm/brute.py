@@ -112,12 +112,10 @@ def repeated_bytes(rows, length=100):
     return out
 
 
-def cross_entropy(rows, target, max_words=2000, smoothing=50.0):
+def cross_entropy(rows, target, smoothing=50.0):
     texts = [(doc, PLAIN.findall((text or "").translate(LOWER))) for doc, text in rows]
-    counts = Counter(w for _, ws in texts for w in ws)
-    total = sum(counts.values())
-    known = {w for w, n in counts.items() if n * max_words >= total}
-    pairs = {doc: list(zip(["<s>", *(x := [w if w in known else "<unk>" for w in ws])], x)) for doc, ws in texts}
+    known = {w for _, ws in texts for w in ws}
+    pairs = {doc: list(zip(["<s>", *ws], ws)) for doc, ws in texts}
     every, chosen = Counter(), Counter()
     for doc, p in pairs.items():
         every.update(p)

@@ -223,6 +223,33 @@ def test_cross_entropy_difference(spark, rows):
         assert r["score"] == (None if own is None else pytest.approx(own - general))
 
 
+def test_cross_entropy_difference_in_many_blocks_and_buckets(spark, rows, monkeypatch):
+    """Blocks of a few texts and buckets of a few words, with null and repeated keys, give the same losses."""
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(lm, "BUCKET_ENTRIES", 300)
+    target = {doc for doc, _ in rows if doc % 2}
+    extra = [(None, "w1 w2 w3 never"), (rows[0][0], rows[0][1]), (rows[0][0], None)]
+    keyed = [(("n", i), text) for i, (_, text) in enumerate(rows + extra)]
+    ids = [doc for doc, _ in rows + extra]
+    want = brute.cross_entropy(keyed, {k for k, doc in zip((k for k, _ in keyed), ids) if doc in target})
+    got = lm.cross_entropy_difference(frame(spark, rows + extra), spark.createDataFrame([(doc,) for doc in target], "doc_id long")).collect()
+
+    def order(items):
+        return sorted(((-10**9 if d is None else d), n, -1 if a is None else round(a, 6), -1 if b is None else round(b, 6)) for d, n, a, b in items)
+
+    assert order((r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"]) for r in got) == order((d, *want[k]) for d, (k, _) in zip(ids, keyed))
+
+
+def test_cross_entropy_difference_knows_rare_words(spark):
+    """Words of two texts only are in the models: those texts stand apart, however large the rest."""
+    rnd = random.Random(9)
+    plain = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "eps"]) for _ in range(60))) for i in range(400)]
+    rare = [(1000 + i, " ".join(f"rare{j}" for j in range(20))) for i in range(2)]
+    target = spark.createDataFrame([(i,) for i in range(0, 400, 2)], "doc_id long")
+    score = {r["doc_id"]: r["score"] for r in lm.cross_entropy_difference(frame(spark, plain + rare), target).collect()}
+    assert min(score[1000], score[1001]) > 1 + max(score[i] for i, _ in plain)
+
+
 def test_personal_data(spark):
     texts = ["mail é a.b+c@mail1.example.com, ring +1 (632) 555-4827.", "ip 10.1.2.3 and 999.1.1.1 and 1.2.3.4.5", "card 4111 1111 1111 1111 not 4111111111111112",
              "call 555-867-5309 or (212) 555-0199, room 101", "version 2.0 of 2021-03-14, 300 people", None, "", "plain words only\nand more of them " * 500]
