@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,19 +58,40 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix(range_hash(prefix_hash(raw), starts, ends) + (ends - starts).astype(np.uint64)) | np.uint64(1), edge
 
 
-def _lists(parts: list[np.ndarray], dtype: type) -> pa.ListArray:
-    offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, dtype), *parts]).astype(dtype)))
+def packed(*arrays: np.ndarray) -> bytes:
+    """Long arrays as one value, each compressed alone and byte plane by byte plane: small numbers take little room in a shuffle."""
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a, "<i8").view(np.uint8).reshape(-1, 8).T) for a in arrays]
+    parts = [zstandard.ZstdCompressor(level=3).compress(p.tobytes()) for p in planes]
+    return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
 
 
-def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column one after another, and the length of each list."""
+def unpacked(content: bytes) -> list[np.ndarray]:
+    """The arrays of ``packed``."""
+    n = int(np.frombuffer(content, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(content, "<i8", n, 8))
+    planes = [np.frombuffer(zstandard.ZstdDecompressor().decompress(content[a:b]), np.uint8) for a, b in zip([8 * (n + 1), *ends[:-1]], ends)]
+    return [np.ascontiguousarray(p.reshape(8, -1).T).view("<i8").ravel() for p in planes]
+
+
+def gaps(keys: np.ndarray) -> np.ndarray:
+    """Differences of rising hashes: two bytes shorter than the hashes in blocks of some megabytes."""
+    return signed(np.diff(np.r_[np.zeros(1, np.uint64), keys]))
+
+
+def from_gaps(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.view(np.uint64), dtype=np.uint64)
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Values of a number column, or of a column of number lists one after another."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
+    return (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """``block, doc_ids, lengths, words, tokens``: texts as places in their block's sorted word list.
+    """``block, doc_ids, lengths, size, content``: texts as places in their block's sorted word list.
+
+    ``content`` packs the word list and the places of all tokens, ``size`` counts both.
 
     Block numbers come from the writing task, so the result must be written once and read from there.
     """
@@ -84,35 +106,35 @@ def blocks(docs: DataFrame) -> DataFrame:
                     hashes.append(found)
                     lengths.append(np.diff(edge))
                 words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-                ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column("doc_id").slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, _lists([np.concatenate(lengths)], np.int32), _lists([signed(words)], np.int64), _lists([tokens], np.int32)],
-                                                 names=["block", "doc_ids", "lengths", "words", "tokens"])
+                edges = pa.array([0, b - a], pa.int32())
+                ids, sizes = (pa.ListArray.from_arrays(edges, x) for x in (batch.column("doc_id").slice(a, b - a), pa.array(np.concatenate(lengths), pa.int64())))
+                content = pa.array([packed(gaps(words), tokens)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, sizes, pa.array([len(words) + len(tokens)]), content], names=["block", "doc_ids", "lengths", "size", "content"])
                 number += 1
 
-    return docs.mapInArrow(run, "block long, doc_ids array<long>, lengths array<int>, words array<long>, tokens array<int>")
+    return docs.mapInArrow(run, "block long, doc_ids array<long>, lengths array<long>, size long, content binary")
 
 
 class Block:
-    """Words and word pairs of one block, each in the order of the buckets."""
+    """Words and word pairs of one block, each in the order of their hashes, which is that of the buckets."""
 
     def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, buckets: int):
-        self.keys = np.r_[words.view(np.uint64), _START]
-        self.width = len(self.keys)
+        keys = mix(np.r_[words, _START])
+        self.width = len(keys)
         self.current = tokens.astype(np.int64)
         self.previous = np.r_[self.width - 1, self.current[:-1]][:len(tokens)]
         self.row = np.repeat(np.arange(len(lengths)), lengths)
         self.previous[np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1]][:len(self.row)])] = self.width - 1
         self.codes, self.pair = np.unique(self.previous * self.width + self.current, return_inverse=True)
-        pairs = mix(mix(self.keys[self.codes // self.width]) + self.keys[self.codes % self.width])
-        self.word_order, self.word_bucket = self._dealt(mix(self.keys), buckets)
-        self.pair_order, self.pair_bucket = self._dealt(pairs, buckets)
-        self.word_keys, self.pair_keys = self.keys[self.word_order], pairs[self.pair_order]
+        pairs = mix(mix(keys[self.codes // self.width]) + keys[self.codes % self.width])
+        self.word_order, self.word_keys, self.word_bucket = self._dealt(keys, buckets)
+        self.pair_order, self.pair_keys, self.pair_bucket = self._dealt(pairs, buckets)
 
     @staticmethod
-    def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, bucket[order]
+    def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        return order, keys, (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
     def counts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words (as a word and as a context, each in all texts and in the chosen ones) and of pairs (all, chosen)."""
@@ -126,74 +148,67 @@ class Block:
 
 
 def _entries(marked: DataFrame, buckets: int) -> DataFrame:
-    """``bucket, block, words, word_counts, pairs, pair_counts``: what each block knows of each bucket's keys."""
+    """``bucket, block, content``: what each block knows of each bucket's keys (words, their counts, pairs, their counts)."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                (words, _), (tokens, _), (lengths, _) = (_flat(one.column(c)) for c in ("words", "tokens", "lengths"))
+                words, tokens = unpacked(batch.column("content")[i].as_py())
                 if not len(tokens):
                     continue
-                block = Block(words, tokens, lengths, buckets)
+                lengths = _numbers(batch.column("lengths").slice(i, 1))
+                block = Block(from_gaps(words), tokens, lengths, buckets)
                 chosen = np.zeros(len(lengths), bool)
-                chosen[_flat(one.column("chosen"))[0].astype(np.int64)] = True
+                chosen[_numbers(batch.column("chosen").slice(i, 1)).astype(np.int64)] = True
                 word_counts, pair_counts = block.counts(chosen)
                 hit = np.union1d(block.word_bucket, block.pair_bucket)
                 w = np.searchsorted(block.word_bucket, np.r_[hit, buckets])
                 p = np.searchsorted(block.pair_bucket, np.r_[hit, buckets])
-                w_cuts, p_cuts = list(zip(w[:-1], w[1:])), list(zip(p[:-1], p[1:]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(hit), pa.array(np.full(len(hit), one.column("block")[0].as_py())),
-                    _lists([signed(block.word_keys[a:b]) for a, b in w_cuts], np.int64), _lists([word_counts[:, a:b].ravel() for a, b in w_cuts], np.int64),
-                    _lists([signed(block.pair_keys[a:b]) for a, b in p_cuts], np.int64), _lists([pair_counts[:, a:b].ravel() for a, b in p_cuts], np.int64)],
-                    names=["bucket", "block", "words", "word_counts", "pairs", "pair_counts"])
+                content = [packed(gaps(block.word_keys[a:b]), word_counts[:, a:b].ravel(), gaps(block.pair_keys[c:d]), pair_counts[:, c:d].ravel())
+                           for a, b, c, d in zip(w[:-1], w[1:], p[:-1], p[1:])]
+                number = np.full(len(hit), batch.column("block")[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(number), pa.array(content, pa.binary())], names=["bucket", "block", "content"])
 
-    return marked.mapInArrow(run, "bucket long, block long, words array<long>, word_counts array<long>, pairs array<long>, pair_counts array<long>")
+    return marked.mapInArrow(run, "bucket long, block long, content binary")
 
 
-def _totals(table: pa.Table, keys: str, counts: str, kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per row the summed counts (kind by kind) of its keys, and the sums of every distinct key."""
-    key, sizes = _flat(table.column(keys))
-    distinct, at = np.unique(key, return_inverse=True)
-    edges, given = np.r_[0, np.cumsum(sizes)], _flat(table.column(counts))[0]
+def _totals(keys: list[np.ndarray], counts: list[np.ndarray], kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per block the summed counts (kind by kind) of its keys, and the sums of every distinct key."""
+    distinct, at = np.unique(np.concatenate([from_gaps(k) for k in keys]), return_inverse=True)
+    places = np.split(at, np.cumsum([len(k) for k in keys])[:-1])
     sums = np.zeros((kinds, len(distinct)), np.int64)
-    for a, b in zip(edges[:-1], edges[1:]):  # a row's keys may share a hash, so add.at and not plain indexing
-        for kind in range(kinds):
-            np.add.at(sums[kind], at[a:b], given[kinds * a + kind * (b - a):kinds * a + (kind + 1) * (b - a)])
-    return [sums[:, at[a:b]].ravel() for a, b in zip(edges[:-1], edges[1:])], sums
+    for place, given in zip(places, counts):
+        for kind, row in enumerate(given.reshape(kinds, -1)):
+            np.add.at(sums[kind], place, row)  # pairs of one block may share a hash
+    return [sums[:, place].ravel() for place in places], sums
 
 
 def _answers(entries: DataFrame) -> DataFrame:
-    """``block, bucket, words, pairs``: corpus counts of every block's keys, and a row of totals a bucket."""
+    """``block, bucket, content, totals``: corpus counts of every block's keys, and a row of totals a bucket."""
     def add(table: pa.Table) -> pa.Table:
-        words, sums = _totals(table, "words", "word_counts", 4)
-        pairs, _ = _totals(table, "pairs", "pair_counts", 2)
-        totals = np.array([(sums[0] > 0).sum(), sums[0].sum(), sums[1].sum()], np.int64)
-        block = np.r_[_flat_numbers(table, "block"), _STATS]
-        bucket = _flat_numbers(table, "bucket")
-        return pa.table({"block": pa.array(block), "bucket": pa.array(np.r_[bucket, bucket[:1]]), "words": _lists([*words, totals], np.int64), "pairs": _lists([*pairs, totals[:0]], np.int64)})
-
-    return entries.groupBy("bucket").applyInArrow(add, "block long, bucket long, words array<long>, pairs array<long>")
-
+        words, word_counts, pairs, pair_counts = zip(*[unpacked(c.as_py()) for c in table.column("content")])
+        words, sums = _totals(words, word_counts, 4)
+        pairs, _ = _totals(pairs, pair_counts, 2)
+        totals = [int((sums[0] > 0).sum()), int(sums[0].sum()), int(sums[1].sum())]
+        bucket = _numbers(table.column("bucket"))
+        return pa.table({"block": pa.array(np.r_[_numbers(table.column("block")), _STATS]), "bucket": pa.array(np.r_[bucket, bucket[:1]]),
+                         "content": pa.array([*[packed(w, p) for w, p in zip(words, pairs)], None], pa.binary()),
+                         "totals": pa.array([*[None] * len(bucket), totals], pa.list_(pa.int64()))})
 
-def _flat_numbers(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+    return entries.groupBy("bucket").applyInArrow(add, "block long, bucket long, content binary, totals array<long>")
 
 
 def _mean_losses(block: Block, lengths: np.ndarray, answers: pa.Table, totals: tuple[int, int, int], smoothing: float) -> tuple[np.ndarray, np.ndarray]:
     """Mean bits a token of every text under the target and under the background model."""
-    order = np.argsort(_flat_numbers(answers, "bucket"), kind="stable")
-    answers = answers.take(pa.array(order))
+    order = np.argsort(_numbers(answers.column("bucket")), kind="stable")
+    words, pairs = zip(*[unpacked(answers.column("content")[int(i)].as_py()) for i in order])
 
-    def gathered(name: str, kinds: int, places: np.ndarray) -> np.ndarray:
-        values, sizes = _flat(answers.column(name))
-        edges = np.r_[0, np.cumsum(sizes)]
+    def gathered(parts: list[np.ndarray], kinds: int, places: np.ndarray) -> np.ndarray:
         out = np.empty((kinds, len(places)))
-        out[:, places] = np.concatenate([values[a:b].reshape(kinds, -1) for a, b in zip(edges[:-1], edges[1:])], axis=1)
+        out[:, places] = np.concatenate([part.reshape(kinds, -1) for part in parts], axis=1)
         return out
 
-    word, context = np.split(gathered("words", 4, block.word_order), 2)
-    pair = gathered("pairs", 2, block.pair_order)
+    word, context = np.split(gathered(words, 4, block.word_order), 2)
+    pair = gathered(pairs, 2, block.pair_order)
     size, every, target = totals
     scale = max(target, 1) / every
     before, after = block.codes // block.width, block.codes % block.width
@@ -208,25 +223,25 @@ def _mean_losses(block: Block, lengths: np.ndarray, answers: pa.Table, totals: t
 def cross_entropy_difference(df: DataFrame, target: DataFrame, smoothing: float = SMOOTHING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, loss_target, loss_background, score`` (mean bits a token); ``target``'s first column holds text keys."""
     cut = written(blocks(documents(df, id_col, text_col)), "lm-blocks")
-    size = cut.agg(F.sum(F.size("words") + F.size("tokens")).alias("n")).first()["n"] or 0
+    size = cut.agg(F.sum("size").alias("n")).first()["n"] or 0
     buckets = -(-size // BUCKET_ENTRIES) or 1
 
     keys = target.select(F.col(target.columns[0]).cast("long").alias("doc_id")).distinct()
     places = cut.select("block", F.posexplode("doc_ids").alias("place", "doc_id")).join(keys, "doc_id", "left_semi")
     chosen = places.groupBy("block").agg(F.collect_list("place").alias("chosen"))  # at most the texts of a block
-    marked = cut.join(chosen, "block", "left").select("block", "words", "tokens", "lengths", F.coalesce("chosen", F.array().cast("array<int>")).alias("chosen"))
+    marked = cut.join(chosen, "block", "left").select("block", "lengths", "content", F.coalesce("chosen", F.array().cast("array<int>")).alias("chosen"))
     answers = written(_answers(_entries(marked, buckets)), "lm-answers")
-    sums = answers.filter(F.col("block") == _STATS).agg(*[F.sum(F.col("words")[i]) for i in range(3)]).first()
+    sums = answers.filter(F.col("block") == _STATS).agg(*[F.sum(F.col("totals")[i]) for i in range(3)]).first()
     totals = tuple(int(x or 0) for x in sums)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        (ids, _), (lengths, _), (words, _), (tokens, _) = (_flat(left.column(c)) for c in ("doc_ids", "lengths", "words", "tokens"))
-        ids = left.column("doc_ids").combine_chunks().flatten()
+        ids, lengths = left.column("doc_ids").combine_chunks().flatten(), _numbers(left.column("lengths"))
+        words, tokens = unpacked(left.column("content")[0].as_py())
         means = [np.zeros(len(lengths))] * 2
         if len(tokens):
-            means = _mean_losses(Block(words, tokens, lengths, buckets), lengths, right, totals, smoothing)
+            means = _mean_losses(Block(from_gaps(words), tokens, lengths, buckets), lengths, right, totals, smoothing)
         columns = [pa.array(x, mask=lengths == 0) for x in (*means, means[0] - means[1])]
-        return pa.table([ids, pa.array(lengths.astype(np.int64)), *columns], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
+        return pa.table([ids, pa.array(lengths), *columns], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"])
 
-    parts = answers.filter(F.col("block") != _STATS).groupBy("block")
+    parts = answers.filter(F.col("block") != _STATS).drop("totals").groupBy("block")
     return cut.groupBy("block").cogroup(parts).applyInArrow(score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
