@@ -27,7 +27,7 @@ CLASS_BOUND = (0.16, 0.9)
 WORD_BOUND = (0.17, 0.7)
 """A distance may reach base + slack / sqrt(words): short texts stray further from any reference."""
 MAX_LABELS = 50
-"""More labels than this are refused: the references are planned as literals."""
+"""References are kept for this many labels, those with the most texts (first label on ties): they are planned as literals."""
 
 # Frequent function words of four languages.
 COMMON_WORDS = [
@@ -94,12 +94,10 @@ def histograms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         F.array(F.col("n_words") - F.size("hits"), *counts).cast("array<double>").alias("common"))
 
 
-def references(hist: DataFrame) -> list[tuple[str, list[float], list[float]]]:
-    """(label, class counts, common-word counts) summed over all texts of each label."""
+def references(hist: DataFrame, max_labels: int = MAX_LABELS) -> list[tuple[str, list[float], list[float]]]:
+    """(label, class counts, common-word counts) summed over all texts of each of the ``max_labels`` most frequent labels."""
     sums = [F.sum(F.get(name, F.lit(i))).alias(f"{name}{i}") for name, n in (("classes", len(CHAR_CLASSES) + 1), ("common", len(COMMON_WORDS) + 1)) for i in range(n)]
-    rows = hist.filter("label IS NOT NULL").groupBy("label").agg(*sums).limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    rows = hist.filter("label IS NOT NULL").groupBy("label").agg(F.count(F.lit(1)).alias("n_texts"), *sums).orderBy(F.desc("n_texts"), "label").limit(max_labels).collect()
     return [(r["label"], [r[f"classes{i}"] for i in range(len(CHAR_CLASSES) + 1)], [r[f"common{i}"] for i in range(len(COMMON_WORDS) + 1)])
             for r in sorted(rows, key=lambda r: r["label"])]
 

@@ -142,6 +142,16 @@ def test_quality_tells_junk_from_prose(spark):
     assert distance["a"] == 0 and distance["b"] == pytest.approx(1.0)
 
 
+def test_quality_with_more_labels_than_references(spark):
+    """The most frequent labels serve as references (first label on ties); texts of the others are judged all the same."""
+    rows = [(i, f"the words of text {i} are of a kind and it is so", f"l{i % 60:02d}") for i in range(63)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality.references(quality.histograms(df))
+    assert [label for label, _, _ in refs] == [f"l{i:02d}" for i in range(quality.MAX_LABELS)]
+    assert [label for label, _, _ in quality.references(quality.histograms(df), 2)] == ["l00", "l01"]
+    assert [r["class_distance"] is None for r in quality.quality(df).collect()] == [False] * 63
+
+
 def test_bpe_equals_the_public_library(spark, rows):
     tiktoken = pytest.importorskip("tiktoken")
     tokenizers = pytest.importorskip("public_tokenizers")
