@@ -33,3 +33,17 @@ def test_ids_in_one_map_stage(spark):
     known = S.token_ids(tokens, vocab, offset=3, unknown_id=3, max_words=9)
     assert {r["doc_id"]: r["ids"] for r in known.collect()} == {1: [4, 3, 5, 4], 2: [], 3: [], 4: [3], None: [6, 3]}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gather_and_shares_are_bounded(spark, monkeypatch):
+    """A step gathers the words of some documents up to a limit, whatever the number of documents."""
+    assert list(E.product_steps(np.array([0, 9, 16, 60, 62, 70]), 16)) == [(0, 2), (2, 3), (3, 5)]
+    assert list(E.product_steps(np.array([0]), 16)) == []
+    monkeypatch.setattr(E, "GATHER_ROWS", 16)
+    tokens = spark.createDataFrame([(i, [f"w{j}" for j in range(i % 25)]) for i in range(80)], "doc_id long, tokens array<string>")
+    vectors = spark.createDataFrame([(f"w{j}", [float(j), 1.0]) for j in range(25)], "word string, vec array<double>")
+    got = {r["doc_id"]: r for r in E.doc_vectors_blocked(tokens, vectors, share_docs=10).collect()}
+    assert len(got) == 80
+    for i in range(80):
+        n = i % 25
+        assert got[i]["n_known"] == n and (got[i]["vec"] == [(n - 1) / 2, 1.0] if n else got[i]["vec"] is None)
