@@ -160,3 +160,19 @@ def test_exact_stratified_folds(spark, monkeypatch):
 def test_grids_are_whole():
     assert len(K.svm_points()) == 12 and len(B.tree_points()) == 18 and B.TREE_ROUNDS == 100
     assert isinstance(T.svm_grid(), T.GridSearch) and isinstance(T.gbt_grid(), T.GridSearch)
+
+
+def test_round_in_one_job_equals_levels_and_groups_are_even(spark, blobs):
+    """Rows moved down level by level give the trees of rows routed from the root; deep trees are dealt over all groups, a task each."""
+    train = blobs.filter("label IS NOT NULL AND vec IS NOT NULL")
+    fits = [B.Fit(p, f) for p in B.tree_points([0.3, 1.0], [0.0, 0.5], [3, 6]) for f in (0, 1, 2, B.ALL_ROWS)]
+    state = B.share(train, fits, 3, 4, B.quantile_edges(train, "vec", 4, 8), "vec", slots=4)
+    assert len(state.groups) == 4 and {sum(fits[f].point.max_depth for f in g) for g in state.groups} == {36}
+    assert sorted(f for g in state.groups for f in g) == list(range(len(fits)))
+    held = state.table.select(F.spark_partition_id().alias("p"), "grp").distinct().collect()
+    assert len({r["p"] for r in held}) == 4
+    for _ in range(3):
+        whole, levels = B.round_pass(state), B.grow_round(state, [])
+        assert (whole.feature == levels.feature).all() and (whole.cut == levels.cut).all() and np.allclose(whole.value, levels.value)
+        state.pending.append(whole)
+    assert (whole.feature[:, 3:] >= 0).any()
