@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 
 from lexis.llm.common import CHUNK_BYTES, documents, mix, powers, prefix_hash, range_hash, row_chunks, signed, utf8, word_bounds, written
 
+TEXT_BYTES = CHUNK_BYTES // 4
+"""Text bytes of one step here: a worker keeps hashes, places and power tables of many times that size."""
+
 MIN_WORDS = 5
 NEAR_WORDS = 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -91,7 +94,7 @@ def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, TEXT_BYTES):
                 lines = Lines(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 at = np.flatnonzero(lines.last - lines.first >= min_words)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][lines.row[at]]), pa.array(lines.line[at]),
@@ -106,7 +109,7 @@ def _half_rows(docs: DataFrame, near_words: int) -> DataFrame:
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             halves, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, TEXT_BYTES):
                 lines = Lines(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 at = np.flatnonzero(lines.last - lines.first >= near_words)
                 half, who = lines.halves(at)
@@ -131,7 +134,7 @@ def _line_words(texts: DataFrame) -> DataFrame:
         for batch in batches:
             raw, offsets = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi in row_chunks(offsets):
+            for lo, hi in row_chunks(offsets, TEXT_BYTES):
                 body = raw[offsets[lo]:offsets[hi]]
                 lines = Lines(body, offsets[lo:hi + 1] - offsets[lo])
                 part = batch.column("lines").slice(lo, hi - lo)
@@ -153,7 +156,7 @@ def _variant_rows(words: DataFrame) -> DataFrame:
         for batch in batches:
             raw, offsets = utf8(batch.column("words"))
             ids, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "line"))
-            for lo, hi in row_chunks(offsets, CHUNK_BYTES // 4):
+            for lo, hi in row_chunks(offsets, TEXT_BYTES):
                 lines = Lines(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 at = np.arange(len(lines.first))
                 key, place, who = lines.deletions(at)
