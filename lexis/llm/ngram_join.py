@@ -11,9 +11,14 @@ n-grams.  Two rows link when 100 * |A and B| >= threshold * |A or B|.
    unusually many such weak blocks a prefix of these, so every linked pair of
    rows meets at some hash, whatever n-grams are frequent, and rows that share
    no more than single n-grams do not.
-2. *Row blocks.*  Rows that meet are joined into candidate groups.  A group
-   beyond ``BLOCK_ROWS`` rows or ``BLOCK_GRAMS`` n-grams is cut into blocks by
-   size class and hash, and only block pairs whose sizes can link are formed.
+2. *Row blocks.*  Rows that meet are joined into candidate groups.  Chance
+   meetings chain ever more rows of a growing table into one group, so the rows
+   of a group beyond ``BLOCK_ROWS`` rows or ``BLOCK_GRAMS`` n-grams are paired
+   hash by hash, and a pair stays only if enough column blocks agree, by one
+   byte each, for it to link; groups are formed anew from these pairs.  (The rows
+   of a hash met by over ``PAIRED_ROWS`` of them are compared in blocks of
+   ``PAIRED_BLOCK``.)  A group that is still beyond the limits is cut into blocks by size class and hash, and
+   only block pairs whose sizes can link are formed.
 3. *Product.*  Each block (pair) accumulates overlap counts column by column
    in numpy: pair expansion for columns with few rows, dense products for the
    others.  Pairs whose sizes cannot reach the bound are discarded before,
@@ -40,12 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexis.llm.common import documents, lower_ascii, mix, prefix_hash, range_hash, row_chunks, signed, utf8, word_bounds, written
+from lexis.llm.common import documents, drop_shuffles, lower_ascii, mix, prefix_hash, range_hash, row_chunks, signed, utf8, word_bounds, written
 from lexis.llm.graph import components
 
 BLOCK_ROWS = 1500
 BLOCK_GRAMS = 1_500_000
 FLUSH_ROWS = 4000
+PAIRED_ROWS = 48
+PAIRED_BLOCK = 1024
+COMPARED_BYTES = 1 << 20
 FILLED = 2
 SPREAD = -1.0
 """Spare blocks beside the usual number of weak ones, in its standard deviations; any value is exact."""
@@ -108,18 +116,16 @@ class Blocks:
             spare = min(int(weak + SPREAD * np.sqrt(weak)) + 1, 2 + differ)
         return (differ + 1 + spare, spare) if differ else (0, 0)
 
-    def signatures(self, grams: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, row) of every block that is not weak; of weak ones, in order, as many as exceed the spare.
+    def differing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """N-grams of only one of two linked sets of ``a`` and ``b`` n-grams, at most."""
+        return np.floor((100 - self.threshold) * (a + b) / (100 + self.threshold) + 1e-6).astype(np.int64)
 
-        Two sets whose agreeing blocks are all weak share more than ``spare``
-        weak blocks, so one of the first ``weak - spare`` of each (the prefix
-        of a set of that overlap) is common to both.
-        """
+    def contents(self, grams: np.ndarray, begin: np.ndarray):
+        """For each size class that links sets: (class, spare, rows, n-grams held and hash of every column block of each row)."""
         size = np.diff(begin)
         own = self.size_class(size)
         sums = np.r_[np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(1)))]
         high = grams >> np.uint64(32)
-        out, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for level in np.unique(np.r_[own, own - 1]).tolist():
             blocks, spare = self.layout(level) if level >= 0 else (0, 0)
             member = np.flatnonzero(((own == level) | (own == level + 1)) & (size > 0))
@@ -135,12 +141,48 @@ class Blocks:
             held = held.reshape(len(member), blocks)
             content = sums[ends] - sums[ends - held]
             salt = mix(np.arange(blocks).astype(np.uint64) + np.uint64(level * 1_000_003 + 17 << 20))
-            sig = mix(content * _ODD + salt[None, :])
+            yield level, spare, member, held, mix(content * _ODD + salt[None, :])
+
+    def sketches(self, grams: np.ndarray, begin: np.ndarray) -> list[bytes]:
+        """A byte for every column block of each set, by the layout of its own size class and then by that of the class below."""
+        own = self.size_class(np.diff(begin))
+        out = [[b"", b""] for _ in own]
+        for level, _, member, _, sig in self.contents(grams, begin):
+            for row, part in zip(member.tolist(), (sig >> np.uint64(56)).astype(np.uint8)):
+                out[row][own[row] - level] = part.tobytes()
+        return [a + b for a, b in out]
+
+    def agreeing(self, a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Which pairs of different sets may link, by sizes and sketches; each side: n-grams, sketch bytes, where each sketch begins."""
+        sizes = [side[0] for side in (a, b)]
+        small, large = np.minimum(*sizes), np.maximum(*sizes)
+        level = self.size_class(small)
+        fit = np.flatnonzero((small * 100 >= self.threshold * large) & (self.size_class(large) <= level + 1))
+        most = self.differing(*sizes)
+        out = np.zeros(len(small), bool)
+        for one in np.unique(level[fit]).tolist():
+            blocks = self.layout(one)[0]
+            mine = fit[level[fit] == one]
+            step = max(1, COMPARED_BYTES // max(1, blocks))
+            for at in (mine[lo:lo + step] for lo in range(0, len(mine) if blocks else 0, step)):
+                parts = [raw[(begin[at] + np.where(self.size_class(n[at]) > one, self.layout(one + 1)[0], 0))[:, None] + np.arange(blocks)] for n, raw, begin in (a, b)]
+                out[at] = (parts[0] == parts[1]).sum(axis=1) >= blocks - most[at]
+        return out
+
+    def signatures(self, grams: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signature, row) of every block that is not weak; of weak ones, in order, as many as exceed the spare.
+
+        Two sets whose agreeing blocks are all weak share more than ``spare``
+        weak blocks, so one of the first ``weak - spare`` of each (the prefix
+        of a set of that overlap) is common to both.
+        """
+        out, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, spare, member, held, sig in self.contents(grams, begin):
             weak = held < FILLED
             # weak blocks in order: fuller ones first, then by place (1 for the first)
             order = np.argsort(np.where(weak, -held, 1), axis=1, kind="stable")
             rank = np.empty_like(order)
-            np.put_along_axis(rank, order, np.arange(1, blocks + 1)[None, :].repeat(len(member), 0), 1)
+            np.put_along_axis(rank, order, np.arange(1, held.shape[1] + 1)[None, :].repeat(len(member), 0), 1)
             sent = ~weak | (rank <= (weak.sum(1) - spare)[:, None])
             r, _ = np.nonzero(sent)
             out.append(sig[sent])
@@ -222,6 +264,112 @@ def _sets(df: DataFrame, n: int) -> DataFrame:
     return df.mapInArrow(run, "node long, grams binary")
 
 
+def _marks(texts: DataFrame, n: int, threshold: int) -> DataFrame:
+    """``sig, node, n_grams, sketch`` of the rows whose text has the set ``node``: one row with the sketch (null ``sig``), one for each block hash."""
+    def run(batches):
+        blocks = Blocks(threshold)
+        for batch in batches:
+            raw, offsets = utf8(batch.column("text"))
+            for lo, hi in row_chunks(offsets):
+                grams, begin = gram_sets(raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], n)
+                node = set_nodes(grams, begin)
+                own = node == batch.column("node").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(own)
+                sketch = blocks.sketches(grams, begin)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(node[at]), pa.array(np.diff(begin)[at]), pa.array([sketch[i] for i in at.tolist()], pa.binary())], names=["sig", "node", "n_grams", "sketch"])
+                sig, row = blocks.signatures(grams, begin)
+                sig, row = sig[own[row]], row[own[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), pa.array(node[row]), pa.nulls(len(row), pa.int64()), pa.nulls(len(row), pa.binary())], names=["sig", "node", "n_grams", "sketch"])
+
+    return texts.mapInArrow(run, "sig long, node long, n_grams long, sketch binary")
+
+
+def _every_two(groups: DataFrame) -> DataFrame:
+    """``a, b``: every two nodes of a group with different ``labels``; both lists as long, the groups small."""
+    def run(batches):
+        for batch in batches:
+            nodes, labels = (batch.column(c) for c in ("nodes", "labels"))
+            count = nodes.value_lengths().to_numpy()
+            begin = np.cumsum(count) - count
+            nodes, labels = (x.flatten().to_numpy() for x in (nodes, labels))
+            for k in np.unique(count).tolist():
+                at = begin[count == k][:, None] + np.arange(k)
+                x, y = np.triu_indices(k, 1)
+                for lo in range(0, len(at), max(1, COMPARED_BYTES // max(1, len(x)))):
+                    part = at[lo:lo + max(1, COMPARED_BYTES // max(1, len(x)))]
+                    first, second = part[:, x].ravel(), part[:, y].ravel()
+                    apart = labels[first] != labels[second]
+                    one, two = nodes[first[apart]], nodes[second[apart]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """The distinct pairs ``a, b`` whose sketches agree in as many blocks as a link needs."""
+    def run(batches):
+        blocks = Blocks(threshold)
+        for batch in batches:
+            sides = []
+            for side in "ab":
+                raw, offsets = utf8(batch.column(f"sketch_{side}"))
+                sides.append((batch.column(f"n_{side}").to_numpy(), raw, offsets[:-1]))
+            keep = pa.array(blocks.agreeing(*sides))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], names=["a", "b"])
+
+    sketch = lambda side: sketches.select(F.col("node").alias(side), F.col("n_grams").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+    return pairs.distinct().join(sketch("a"), "a").join(sketch("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def _likely_in(cells: DataFrame, threshold: int) -> DataFrame:
+    """Spanning pairs ``a, b`` of the likely ones of each cell, between its two sides (``side`` 0: every row of the cell is on one side)."""
+    def solve(key, table):
+        blocks = Blocks(threshold)
+        order = np.argsort(table.column("n_grams").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        node, label, side, size = (table.column(c).to_numpy() for c in ("node", "label", "side", "n_grams"))
+        raw, offsets = utf8(table.column("sketch"))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        reach = np.searchsorted(size * threshold, size * 100, "right")
+        for i in range(len(node)):
+            j = np.arange(i + 1, reach[i])
+            j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[j] == 0))]
+            if len(j):
+                first = np.full(len(j), i)
+                j = j[blocks.agreeing((size[first], raw, offsets[first]), (size[j], raw, offsets[j]))]
+                a.append(np.full(len(j), i))
+                b.append(j)
+        low = _joined(len(node), np.concatenate(a), np.concatenate(b))
+        at = np.flatnonzero(low != np.arange(len(node)))
+        return pa.table({"a": node[low[at]], "b": node[at]})
+
+    return cells.groupBy("cell").applyInArrow(solve, "a long, b long")
+
+
+def _split_groups(crowd: DataFrame, texts: DataFrame, n: int, threshold: int) -> DataFrame:
+    """``crowd`` (the rows of large candidate groups) in groups of pairs that may link; rows without such a pair go.
+
+    The rows that meet at a hash are compared with one of them first; of these
+    links' groups, every two rows that met and are in different ones are compared.
+    """
+    marks = _marks(texts.join(crowd.select("node"), "node", "left_semi"), n, threshold)
+    sketches = written(marks.filter("sig IS NULL").select("node", "n_grams", "sketch"), "sketches")
+    met = written(marks.filter("sig IS NOT NULL").groupBy("sig").agg(F.collect_set("node").alias("nodes")).filter("size(nodes) > 1"), "met")
+    each = met.select("sig", F.array_min("nodes").alias("a"), F.explode("nodes").alias("b"))
+    star = written(_likely(each.select("a", "b").filter("a <> b"), sketches, threshold), "likely")
+    label = components(star).select(F.col("node").alias("b"), F.col("component").alias("label"))
+    named = each.join(label, "b", "left").groupBy("sig").agg(F.collect_list(F.struct(F.coalesce("label", "b").alias("label"), F.col("b").alias("node"))).alias("rows"))
+    apart = written(named.select("sig", F.col("rows.node").alias("nodes"), F.col("rows.label").alias("labels")).filter("size(array_distinct(labels)) > 1"), "apart")
+    few = _likely(_every_two(apart.filter(f"size(nodes) <= {PAIRED_ROWS}").select("nodes", "labels")), sketches, threshold)
+    many = apart.filter(f"size(nodes) > {PAIRED_ROWS}").select("sig", F.ceil(F.size("nodes") / PAIRED_BLOCK).cast("int").alias("m"), F.posexplode(F.arrays_zip("nodes", "labels")).alias("at", "row"))
+    own, other = F.pmod("at", "m"), F.col("other")
+    spread = many.select("sig", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other"), F.col("row.nodes").alias("node"), F.col("row.labels").alias("label"))
+    side = F.when(F.col("own") == other, 0).when(F.col("own") < other, 1).otherwise(2)
+    cells = spread.select(F.xxhash64("sig", F.least("own", other), F.greatest("own", other)).alias("cell"), side.alias("side"), "node", "label")
+    pairs = star.union(few).union(_likely_in(cells.join(sketches, "node"), threshold))
+    return crowd.drop("component").join(components(written(pairs, "likely")), "node")
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -333,13 +481,18 @@ def _links(blocks: DataFrame, threshold: int) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long")
 
 
+def _sized(groups: DataFrame, rows: int, grams: int) -> DataFrame:
+    """``groups`` with ``large``: whether the row's component goes beyond one block."""
+    blocks = F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("grams") / grams))
+    whole = groups.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_grams").alias("grams")).select("component", (blocks > 1).alias("large"))
+    return groups.join(whole, "component")
+
+
 def _block_keys(groups: DataFrame, threshold: int, rows: int, grams: int) -> DataFrame:
     """``block, node``: the blocks and block pairs that every node of a candidate group belongs to."""
     size_class = F.floor(F.log(F.col("n_grams").cast("double")) / F.lit(float(np.log(Blocks(threshold).ratio))) + F.lit(1e-9)).cast("int")
-    nodes = groups.withColumn("k", size_class)
     blocks = F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("grams") / grams)).cast("int")
-    whole = nodes.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n_grams").alias("grams")).select("component", (blocks > 1).alias("large"))
-    nodes = nodes.join(whole, "component")
+    nodes = _sized(groups.withColumn("k", size_class), rows, grams)
     small = nodes.filter("NOT large").select(F.xxhash64("component").alias("block"), "node")
     large = nodes.filter("large")
     parts = large.groupBy("component", "k").agg(F.count("*").alias("rows"), F.sum("n_grams").alias("grams")).select("component", "k", blocks.alias("m"))
@@ -371,9 +524,16 @@ def join_groups(df: DataFrame, n: int = 3, threshold: int = 90, id_col: str = "d
     pairs = met.select("node", F.coalesce("other", pivot).alias("other")).filter("node <> other").distinct()
     groups = components(pairs, "node", "other")
     wanted = written(groups.join(node_docs, "node"), "candidates")
+    drop_shuffles(spark)
     # shuffled by key whatever the number of candidates: one plan at every size
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.repartition(parts, "doc_id").join(wanted.select(F.col("first_id").alias("doc_id"), "node"), "doc_id").select("node", "text")
+    sized = _sized(wanted, block_rows, block_grams)
+    if sized.filter("large").limit(1).count():
+        texts = written(texts, "candidate-texts")
+        sized = written(sized, "sized")
+        crowd = sized.filter("large").drop("large")
+        wanted = written(sized.filter("NOT large").drop("large").unionByName(_split_groups(crowd, texts, n, threshold)), "candidates")
     keys = _block_keys(wanted, threshold, block_rows, block_grams)
     blocks = keys.join(_sets(texts, n), "node").select("block", "node", "grams").repartition(parts, "block").sortWithinPartitions("block")
     linked = components(written(_links(blocks, threshold), "links"))

@@ -66,6 +66,41 @@ def test_jaccard_join(spark, rows):
     assert other == brute.jaccard_groups(rows, 5, 80)
 
 
+def test_jaccard_chance_meetings_do_not_chain(spark, monkeypatch):
+    """Windows over one long text meet from neighbour to neighbour but do not link: no large group is left to be cut into block pairs."""
+    words = [f"t{i}" for i in range(700)]
+    rows = [(i, " ".join(words[i * 4:i * 4 + 60])) for i in range(160)]
+    rows += [(1000 + i, " ".join([*words[i * 4:i * 4 + 59], "changed"])) for i in range(0, 160, 9)]
+    want = brute.jaccard_groups(rows)
+    groups, real = [], ngram_join._block_keys
+    monkeypatch.setattr(ngram_join, "_block_keys", lambda wanted, *a: groups.append(wanted) or real(wanted, *a))
+    for paired, block in ((48, 1024), (2, 3)):
+        monkeypatch.setattr(ngram_join, "PAIRED_ROWS", paired)
+        monkeypatch.setattr(ngram_join, "PAIRED_BLOCK", block)
+        got = {r[0]: tuple(r)[1:] for r in ngram_join.join_groups(frame(spark, rows), block_rows=40).collect()}
+        assert got == want and len({c for _, c in got.values()}) == 160
+        assert groups[-1].groupBy("component").count().agg(F.max("count")).first()[0] <= 40
+
+
+def test_jaccard_sketches_of_linked_pairs_agree():
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    for threshold in (80, 90):
+        blocks = ngram_join.Blocks(threshold)
+        for size in (9, 19, 40, 150, 600):
+            grams = rnd.integers(0, 2**64 - 1, size + size // 2, dtype=np.uint64)
+            room = int(size * (100 - threshold) / threshold)
+            sets = [np.sort(grams[:size]), np.sort(np.r_[grams[:size], grams[size:size + room]]), np.sort(grams[room:size]), np.sort(grams[size // 2:])]
+            begin = np.cumsum([0, *map(len, sets)])
+            sketch = blocks.sketches(np.concatenate(sets), begin)
+            side = lambda k: (np.array([len(sets[k])]), np.frombuffer(sketch[k], np.uint8), np.zeros(1, np.int64))
+            for k in (1, 2, 3):
+                both = len(np.intersect1d(sets[0], sets[k]))
+                linked = 100 * both >= threshold * (size + len(sets[k]) - both)
+                assert blocks.agreeing(side(0), side(k))[0] or not linked or len(sets[k]) == size
+            assert size < 100 or not blocks.agreeing(side(0), side(3))[0]
+
+
 def test_jaccard_signatures_meet_for_every_linked_pair():
     import numpy as np
     rnd = np.random.default_rng(3)
