@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexis.session import ensure_checkpoint_dir
+from lexis.session import drop_shuffles, ensure_checkpoint_dir  # noqa: F401 (drop_shuffles: for the operators)
 
 CHUNK_BYTES = 2 << 20
 """Text bytes that one vectorised step works on; longer single texts form their own step."""
@@ -40,11 +40,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Collect the driver's garbage: Spark then deletes the shuffle files that no plan refers to any more."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (starting at 0) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -47,3 +47,16 @@ def test_gather_and_shares_are_bounded(spark, monkeypatch):
     for i in range(80):
         n = i % 25
         assert got[i]["n_known"] == n and (got[i]["vec"] == [(n - 1) / 2, 1.0] if n else got[i]["vec"] is None)
+
+
+def test_one_sum_a_document_crosses(spark):
+    """Neither partial sums nor a copy of all vectors for each share: a share's task sends whole sums, whatever the blocks."""
+    tokens = spark.createDataFrame([(i, [f"w{j}" for j in range(i % 25)]) for i in range(80)], "doc_id long, tokens array<string>")
+    vectors = spark.createDataFrame([(f"w{j}", [j / 3, 1.0]) for j in range(25)], "word string, vec array<float>")
+    out = E.doc_vectors_blocked(tokens, vectors, share_docs=9, block_words=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan and "ObjectHashAggregate" not in plan
+    for r in out.collect():
+        n = r["doc_id"] % 25
+        want = [float(np.arange(n).astype(np.float64).dot(np.ones(n)) / 3 / n), 1.0] if n else None
+        assert r["n_known"] == n and (r["vec"] is None if want is None else np.allclose(r["vec"], want, rtol=1e-6))
