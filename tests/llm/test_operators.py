@@ -68,9 +68,9 @@ def test_jaccard_join(spark, rows):
 
 def test_jaccard_chance_meetings_do_not_chain(spark, monkeypatch):
     """Windows over one long text meet from neighbour to neighbour but do not link: no large group is left to be cut into block pairs."""
-    words = [f"t{i}" for i in range(700)]
-    rows = [(i, " ".join(words[i * 4:i * 4 + 60])) for i in range(160)]
-    rows += [(1000 + i, " ".join([*words[i * 4:i * 4 + 59], "changed"])) for i in range(0, 160, 9)]
+    words = [f"t{i}" for i in range(900)]
+    rows = [(i, " ".join(words[i * 5:i * 5 + 60])) for i in range(160)]
+    rows += [(1000 + i, " ".join([*words[i * 5:i * 5 + 59], "changed"])) for i in range(0, 160, 9)]
     want = brute.jaccard_groups(rows)
     groups, real = [], ngram_join._block_keys
     monkeypatch.setattr(ngram_join, "_block_keys", lambda wanted, *a: groups.append(wanted) or real(wanted, *a))
